@@ -35,8 +35,8 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the texts of a slice stay near ``limit`` bytes."""
+def slices(batches, text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of a slice stay near ``limit`` bytes and ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,7 +44,7 @@ def slices(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            stop = min(max(start + 1, int(np.searchsorted(ends, before + limit, side="right"))), start + rows)
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -39,6 +39,11 @@ def _suspect(df: DataFrame, text: str, max_bits: int):
 
 
 def _groups(repeated: DataFrame) -> DataFrame:
+    """Written, so that a join with it deals both sides anew and adaptive execution can split a hot key's rows."""
+    return written(_grouped(repeated), "op4")
+
+
+def _grouped(repeated: DataFrame) -> DataFrame:
     return repeated.groupBy("__sha").agg(F.max(F.struct("__id", "__row")).alias("__best"), F.count("*").alias("__size"))
 
 
