@@ -77,12 +77,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def digest(df: DataFrame, text: str = "text") -> DataFrame:
     """The frame with a column fingerprint."""
 
-    @F.pandas_udf("string")
-    def fingerprint(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def fingerprint(texts: pa.Array) -> pa.Array:
         out = []
-        for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])]):
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
             out += to_text(codes_of(*flat(part.column(0))))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     return df.withColumn("fingerprint", fingerprint(text_of(text)))
 

@@ -1,6 +1,8 @@
 """Quality classifier: nearest-neighbour voting among labelled documents in a latent semantic space.
 
-Features are counts of hashed byte triplets of the whole text, as square roots, scaled to length 1. A bounded sample of
+Features are counts of hashed byte triplets of the whole text, as square roots, and six shares (words equal to the one
+before, distinct words, the most frequent triplet, symbols, capitals, digits), each as a point between two of BINS bins.
+A bounded sample of
 labelled documents (``sample``, those of the smallest hash of doc_id, by a top-k of the labels) gives a truncated
 singular value decomposition; the labelled documents' latent vectors are broadcast. Their size is bounded by sample x
 rank. Every document's cosines with all labelled vectors are computed exactly, block by block, and the ``neighbours``
@@ -16,15 +18,16 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import flat, slices
+from .flat import flat, mix, slices, word_hashes, words
 from .op4_exact_dedup import text_of
 
-FEATURES = 2048
+TRIPLETS = 2048
+SHARES, BINS, SHARE_WEIGHT = 6, 8, 0.5
+FEATURES = TRIPLETS + SHARES * BINS
 RANK = 48
 #: Bound of the labelled sample: its features take SAMPLE x FEATURES x 4 bytes on the driver (32 MB) while it is fitted.
 SAMPLE = 4096
@@ -42,6 +45,26 @@ class Model(NamedTuple):
     prior: float
 
 
+def shares(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """n x (SHARES - 1): equal neighbours, distinct words, symbols, capitals, digits; square roots, to tell small shares."""
+    n, sizes = len(offsets) - 1, np.maximum(np.diff(offsets), 1)
+    first, end, bounds = words(data, offsets)
+    hashes, home = word_hashes(data, first, end), doc[first]
+    count = np.maximum(np.diff(bounds), 1)
+    same = np.zeros(len(hashes), bool)
+    same[1:] = (hashes[1:] == hashes[:-1]) & (home[1:] == home[:-1])
+    keys = hashes ^ mix(home.astype(np.uint64))
+    order = np.argsort(keys)
+    own = keys[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = own[1:] != own[:-1]
+    letter, upper, digit = (data >= 97) & (data <= 122), (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
+    symbol = (data >= 33) & (data < 127) & ~letter & ~upper & ~digit
+    parts = [np.bincount(home[same], minlength=n) / count, np.bincount(home[order][fresh], minlength=n) / count]
+    parts += [np.bincount(doc[x], minlength=n) / sizes for x in (symbol, upper, digit)]
+    return np.sqrt(np.stack(parts, axis=1))
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """n x FEATURES float32 of length 1 (0 without a triplet)."""
     n = len(offsets) - 1
@@ -49,10 +72,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(data) > 2:
         doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
         wide = data.astype(np.uint32)
-        h = (wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D))
+        h = wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)
         h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(21)
         inside = doc[2:] == doc[:-2]
-        out = np.sqrt(np.bincount(doc[:-2][inside] * FEATURES + h[inside], minlength=n * FEATURES).reshape(n, FEATURES)).astype(np.float32)
+        counts = np.bincount(doc[:-2][inside] * TRIPLETS + h[inside], minlength=n * TRIPLETS).reshape(n, TRIPLETS)
+        total = np.maximum(counts.sum(axis=1), 1)
+        out[:, :TRIPLETS] = np.sqrt(counts / total[:, None])
+        at = np.concatenate([shares(data, offsets, doc), np.sqrt(counts.max(axis=1) / total)[:, None]], axis=1).clip(0, 1) * (BINS - 1)
+        low = np.minimum(at.astype(np.int64), BINS - 2)
+        column, row = TRIPLETS + np.arange(SHARES) * BINS + low, np.arange(n)[:, None]
+        out[row, column], out[row, column + 1] = SHARE_WEIGHT * (low + 1 - at), SHARE_WEIGHT * (at - low)
+        out[counts.sum(axis=1) == 0] = 0
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     return out
 
@@ -108,12 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(tuple(model))
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         own, out = Model(*shared.value), [np.zeros(0)]
-        for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], rows=ROWS):
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], rows=ROWS):
             out.append(score(own, features(*flat(part.column(0)))))
-        return pd.Series(np.concatenate(out))
+        return pa.array(np.concatenate(out))
 
     return scored(text)
 
