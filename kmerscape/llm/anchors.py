@@ -33,28 +33,33 @@ HOT = 20_000
 #: Bytes of text whose anchors are found at a time.
 SLICE = 1 << 20
 NULL_ID = -(1 << 63)
+#: Bytes of an anchor that the range partitioner sees.
+LEAD = 16
 
 
 class Kind(NamedTuple):
-    """What a token is: tokens(data, offsets) gives (mixed values, offset of each document in tokens), content(data,
-    values) the bytes that stand for them, of ``width`` bytes a token."""
+    """What a token is: tokens(data, offsets) gives mixed values, the offset of each document in tokens, and span, which
+    gives (first byte, number of bytes) of ranges (first token, number of tokens)."""
 
     tokens: Callable
-    content: Callable
-    width: int
 
 
 def _word_tokens(data, offsets):
     first, end, bounds = words(data, offsets)
-    return word_hashes(data, first, end), bounds
+
+    def span(start, size):
+        some = size > 0
+        begin = first[np.where(some, start, 0)] if len(first) else start
+        return begin, np.where(some, end[np.where(some, start + size - 1, 0)] - begin, 0) if len(first) else size
+
+    return word_hashes(data, first, end), bounds, span
 
 
 def _byte_tokens(data, offsets):
-    return BYTE_VALUES[data], offsets
+    return BYTE_VALUES[data], offsets, lambda start, size: (start, size)
 
 
-WORDS = Kind(_word_tokens, lambda data, values: values.view(np.uint8), 8)
-BYTES = Kind(_byte_tokens, lambda data, values: data, 1)
+WORDS, BYTES = Kind(_word_tokens), Kind(_byte_tokens)
 
 
 def runs(roll: Rolling, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,26 +95,27 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int) -> DataFrame:
+def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """A written table of the runs whose anchor repeats: h, sid (anchor and content), doc_id, tkey, a (first window), n,
-    lead (the anchor's first bytes), and content, which is given once per slice."""
+    lead (the anchor's first bytes), and content (the bytes that the windows cover), which is given once per slice; and
+    one of the repeated anchors with the numbers of their runs."""
     if not 1 <= window - gram + 1 <= 63:
         raise ValueError("a run must have 1 to 63 windows")
 
     def count(batches):
         for part in slices(batches, limit=SLICE):
-            values, bounds = kind.tokens(*flat(part.column(0)))
+            values, bounds, _ = kind.tokens(*flat(part.column(0)))
             _, _, _, h = runs(Rolling(values, 0x8CB92BA72F3D8DD7), bounds, window, gram)
             h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([signed(h), pa.array(n.astype(np.int32))], ["h", "n"])
 
-    repeated = written(docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated, bloom.pages_for(repeated.count(), max_bits=max_bits), least=1))
+    repeated = written(docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated.select("h"), bloom.pages_for(repeated.count(), max_bits=max_bits), least=1))
 
     def extract(batches):
         for part in slices(batches, limit=SLICE):
             data, offsets = flat(array_of(part, "text"))
-            values, bounds = kind.tokens(data, offsets)
+            values, bounds, span = kind.tokens(data, offsets)
             roll = Rolling(values, 0x8CB92BA72F3D8DD7)
             start, n, place, h = runs(roll, bounds, window, gram)
             some = bloom.contains(bits.value, h)
@@ -121,12 +127,12 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int)
             _, once = np.unique(both, return_index=True)
             given = np.zeros(len(h), bool)
             given[once] = True
-            raw = kind.content(data, values)
-            own = np.where(given, size, 0) * kind.width
-            content = binary_array(raw[spread(start * kind.width, own)], starts_of(own)).cast(pa.binary())
+            begin, own = span(start, np.where(given, size, 0))
+            content = binary_array(data[spread(begin, own)], starts_of(own)).cast(pa.binary())
             content = pa.Array.from_buffers(pa.binary(), len(h), [pa.py_buffer(np.packbits(given, bitorder="little")), *content.buffers()[1:]])
-            leading = np.full(len(h), min(16, gram * kind.width), np.int64)
-            lead = binary_array(raw[spread(place * kind.width, leading)], starts_of(leading)).cast(pa.binary())
+            begin, own = span(place, np.full(len(h), gram))
+            own = np.minimum(own, LEAD)
+            lead = binary_array(data[spread(begin, own)], starts_of(own)).cast(pa.binary())
             doc = np.searchsorted(bounds, start, side="right") - 1
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
@@ -134,29 +140,57 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int)
                 ["h", "sid", "doc_id", "tkey", "a", "n", "lead", "content"],
             )
 
-    return written(docs.select("doc_id", "tkey", "text").mapInArrow(extract, "h long, sid long, doc_id long, tkey long, a long, n int, lead binary, content binary"), "segments")
+    return written(docs.select("doc_id", "tkey", "text").mapInArrow(extract, "h long, sid long, doc_id long, tkey long, a long, n int, lead binary, content binary"), "segments"), repeated
+
 
+def _by_window(kind: Kind, window: int):
+    """A row for each window of a segment, dealt by the window's own hash."""
 
-def decide(found: DataFrame, kernel: Callable, kind: Kind, window: int, by_range: bool, hot: int = HOT) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            data, offsets = flat(array_of(batch, "content"))
+            values, bounds, span = kind.tokens(data, offsets)
+            n = array_of(batch, "n").to_numpy().astype(np.int64)
+            row, off = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+            start = bounds[row] + off
+            begin, own = span(start, np.full(len(row), window))
+            lead = np.minimum(own, LEAD)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [binary_array(data[spread(begin, lead)], starts_of(lead)).cast(pa.binary()), signed(Rolling(values, 0x9FB21C651E98DF25).of(start, start + window)), pa.array(off.astype(np.int32))]
+                + [array_of(batch, c).take(take) for c in ("h", "sid", "copies", "doc0")]
+                + [pa.array(array_of(batch, "a0").to_numpy()[row] + off), pa.array(np.ones(len(row), np.int32)), binary_array(data[spread(begin, own)], starts_of(own)).cast(pa.binary())],
+                ["lead", "route", "off", "h", "sid", "copies", "doc0", "a0", "n", "content"],
+            )
+
+    return run
+
+
+def decide(found: DataFrame, repeated: DataFrame, kernel: Callable, kind: Kind, window: int, by_range: bool, hot: int = HOT) -> DataFrame:
     """h, sid, doc0, a0 (first place), copies, and the kernel's bits: first (of the first copy) and later (of others)."""
     spark = found.sparkSession
-    collapsed = written(
+    collapsed = (
         found.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "a")).alias("at"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("content", ignorenulls=True).alias("content"))
-        .select("h", "sid", "copies", F.col("at.doc_id").alias("doc0"), F.col("at.a").alias("a0"), "n", "lead", "content"),
-        "distinct",
-    )
-    hot_anchors = written(collapsed.groupBy("h").count().filter(F.col("count") > hot).select("h"), "hot")
-    any_hot = not hot_anchors.isEmpty()
+        .select("h", "sid", "copies", F.col("at.doc_id").alias("doc0"), F.col("at.a").alias("a0"), "n", "lead", "content")
+    )
+    # an anchor has no more distinct segments than runs, so few anchors need to be counted
+    often, any_hot = repeated.filter(F.col("n") > hot).select("h"), False
+    if not often.isEmpty():
+        hot_anchors = written(found.select("h", "sid").join(often, "h").distinct().groupBy("h").count().filter(F.col("count") > hot).select("h"), "hot")
+        any_hot = not hot_anchors.isEmpty()
+    if any_hot:
+        collapsed = written(collapsed, "distinct")
     usual = collapsed.join(hot_anchors, "h", "left_anti") if any_hot else collapsed
     columns = ["h", "sid", "copies", "doc0", "a0", "n", "content"]
     dealt = usual.select("lead", F.col("h").alias("route"), F.lit(0).alias("off"), *columns)
     if any_hot:
-        one = collapsed.join(hot_anchors, "h", "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("off"))
-        own = F.substring("content", F.col("off") * kind.width + 1, F.lit(window * kind.width))
-        single = one.withColumn("content", own).select(F.substring("content", 1, 16).alias("lead"), F.xxhash64("content").alias("route"), "off", "h", "sid", "copies", "doc0", (F.col("a0") + F.col("off")).alias("a0"), F.lit(1).alias("n"), "content")
-        dealt = dealt.unionByName(single)
+        one = collapsed.join(hot_anchors, "h", "left_semi").select(*columns)
+        dealt = dealt.unionByName(one.mapInArrow(_by_window(kind, window), "lead binary, route long, off int, h long, sid long, copies long, doc0 long, a0 long, n int, content binary"))
     n = hash_partitions(spark)
-    dealt = dealt.repartitionByRange(n, "lead", "route").sortWithinPartitions("lead", "route") if by_range else dealt.repartition(n, "route").sortWithinPartitions("route")
+    if by_range:
+        dealt = dealt.repartitionByRange(n, "lead", "route").sortWithinPartitions("lead", "route")
+    else:
+        dealt = dealt.drop("lead").repartition(n, "route").sortWithinPartitions("route")
     bits = dealt.mapInArrow(kernel, "h long, sid long, doc0 long, a0 long, copies long, off int, first long, later long")
     if any_hot:
         bits = bits.groupBy("h", "sid").agg(F.min("doc0").alias("doc0"), F.min(F.col("a0") - F.col("off")).alias("a0"), F.max("copies").alias("copies"), F.bit_or("first").alias("first"), F.bit_or("later").alias("later"))

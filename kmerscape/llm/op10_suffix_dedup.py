@@ -88,8 +88,8 @@ def _kernel(length: int, bucket: int):
 
 def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, hot: int = anchors.HOT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, tkey (hash of the text) and marks: windows (a + bit of mask) of bytes that also start earlier."""
-    found = anchors.segments(anchors.keyed(df, doc_id, text), anchors.BYTES, length, gram, max_bits)
-    return anchors.marks(found, anchors.decide(found, _kernel(length, bucket), anchors.BYTES, length, by_range=True, hot=hot))
+    found, repeated = anchors.segments(anchors.keyed(df, doc_id, text), anchors.BYTES, length, gram, max_bits)
+    return anchors.marks(found, anchors.decide(found, repeated, _kernel(length, bucket), anchors.BYTES, length, by_range=True, hot=hot))
 
 
 def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", kept: bool = True, **options) -> DataFrame:

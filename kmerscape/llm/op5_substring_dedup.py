@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import anchors, bloom
-from .flat import array_of, flat, sha256_each, slices, spread, starts_of, words
+from .flat import array_of, flat, sha256_each, slices, spread, starts_of, word_hashes, words
 
 WINDOW = 35
 GRAM = 16
-#: Bytes of segments (8 a word) in a shard.
-SHARD = 6 << 20
+#: Bytes of segments in a shard.
+SHARD = 5 << 20
 
 
 class WaveletMatrix:
@@ -142,7 +142,8 @@ def _kernel(window: int, shard: int):
     def run(batches):
         for table in anchors.budgeted(batches, shard, ["h", "sid", "doc0", "a0", "copies", "off", "content"]):
             data, offsets = flat(table.column("content"))
-            masks = repeated_windows(np.ascontiguousarray(data).view(np.uint64), offsets // 8, table.column("copies").to_numpy(), window)
+            first, end, bounds = words(data, offsets)
+            masks = repeated_windows(word_hashes(data, first, end), bounds, table.column("copies").to_numpy(), window)
             masks <<= table.column("off").to_numpy()
             yield from table.drop_columns(["content"]).append_column("first", pa.array(masks)).append_column("later", pa.array(masks)).combine_chunks().to_batches()
 
@@ -151,8 +152,8 @@ def _kernel(window: int, shard: int):
 
 def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, hot: int = anchors.HOT, shard: int = SHARD) -> DataFrame:
     """doc_id, tkey (hash of the text) and marks: windows (a + bit of mask) whose words also start elsewhere."""
-    found = anchors.segments(anchors.keyed(df, doc_id, text), anchors.WORDS, window, gram, max_bits)
-    return anchors.marks(found, anchors.decide(found, _kernel(window, shard), anchors.WORDS, window, by_range=False, hot=hot))
+    found, repeated = anchors.segments(anchors.keyed(df, doc_id, text), anchors.WORDS, window, gram, max_bits)
+    return anchors.marks(found, anchors.decide(found, repeated, _kernel(window, shard), anchors.WORDS, window, by_range=False, hot=hot))
 
 
 def kept_words(data: np.ndarray, offsets: np.ndarray, marks: pa.Array, window: int):
