@@ -7,6 +7,7 @@ from . import op4_exact_dedup as op4
 from . import op5_substring_dedup as op5
 from . import op6_token_files as op6
 from . import op7_quality as op7
+from . import op8_ngram_join as op8
 from . import op9_packing as op9
 from . import op10_suffix_dedup as op10
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_substring_dedup": op5.query,
     "op6_token_files": op6.query,
     "op7_quality": op7.query,
+    "op8_ngram_join": op8.query,
     "op9_packing": op9.query,
     "op10_suffix_dedup": op10.query,
 }
