@@ -1,4 +1,342 @@
-"""Queries of the library and their SQL equivalents."""
+"""Queries of the library on the driver's tables, and their SQL equivalents for DuckDB.
 
-QUERIES: dict = {}
+The tables hold no nucleotides, so texts are mapped to them by a rule that both dialects can express: letters and digits
+and `.,` stay, the rest goes; letters become A, C, G, T in turn, digits and punctuation N. Exact queries run on the whole
+of documents (source is the file, doc_id the sequence). Queries with errors run on the whole of benchmark, where DuckDB
+can compare every k-mer with every other one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.alphabet import canonical, normalise, revcomp
+from ..operators import frequency as fr
+from ..operators import locate as lo
+from ..operators import sinks, windows
+from ..operators.runs import runs
+from ..sources.corpus import Corpus
+
+FROM = "abcdefghijklmnopqrstuvwxyz0123456789.,"
+TO = "ACGT" * 6 + "AC" + "N" * 12
+K = 24
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+# --- corpora --------------------------------------------------------------------------------------------------------
+def dna(text):
+    return F.translate(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9.,]", "")), FROM, TO)
+
+
+def spread_out(rows: DataFrame) -> DataFrame:
+    """More partitions where the input has fewer than there are cores, as one small file has."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Corpus:
+    rows = spread_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return Corpus.from_table(rows.select("source", "doc_id", dna(F.col("text")).alias("dna")), "source", "dna", "doc_id")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Items in four files; a name is the item's number, so intervals apply by name."""
+    rows = spread_out(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    file = F.concat(F.lit("file"), (F.col("item_id") % 4).cast("string"))
+    return Corpus.from_table(rows.select(file.alias("file"), "item_id", dna(F.col("text")).alias("dna")), "file", "dna", "item_id")
+
+
+def intervals(corpus: Corpus) -> DataFrame:
+    begin = F.col("seq_id") % 17
+    return corpus.sequences.filter(F.col("seq_len") >= 60).select("seq_name", begin.alias("begin"), (begin + 40).alias("end"))
+
+
+MAPPED = f"translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.,]', '', 'g')), '{FROM}', '{TO}')"
+DOCS = f"""seqs AS (SELECT dense_rank() OVER (ORDER BY file_name) - 1 AS file_id, file_name, seq_id, seq, length(seq) AS seq_len
+  FROM (SELECT source AS file_name, doc_id AS seq_id, {MAPPED} AS seq FROM documents) WHERE length(seq) > 0)"""
+ITEMS = f"""seqs AS (SELECT dense_rank() OVER (ORDER BY file_name) - 1 AS file_id, file_name, seq_id, seq, length(seq) AS seq_len
+  FROM (SELECT 'file' || (item_id % 4) AS file_name, item_id AS seq_id, {MAPPED} AS seq FROM benchmark) WHERE length(seq) > 0)"""
+
+
+def wins_sql(k: int) -> str:
+    return f"""wins AS (SELECT file_id, seq_id, pos, substr(seq, pos + 1, {k}) AS kmer
+  FROM (SELECT file_id, seq_id, seq, unnest(range(0, seq_len - {k} + 1)) AS pos FROM seqs WHERE seq_len >= {k}))"""
+
+
+RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+def matches_sql(errors: int, both: bool = True) -> str:
+    """d: distinct k-mers and counts; m: pairs of k-mers (kmer, strand, hit) within the errors, by comparing all."""
+    minus = f" UNION ALL SELECT kmer, '-', {RC.format('kmer')} FROM d" if both else ""
+    near = "q.q = t.kmer AND NOT contains(q.q, 'N')" if errors == 0 else f"hamming(replace(q.q, 'N', 'n'), t.kmer) <= {errors}"
+    return f"""d AS (SELECT kmer, count(*) AS cnt FROM wins GROUP BY kmer),
+q AS (SELECT kmer, '+' AS strand, kmer AS q FROM d{minus}),
+m AS (SELECT q.kmer, q.strand, t.kmer AS hit, t.cnt FROM q JOIN d t ON {near})"""
+
+
+def freq_sql(corpus: str, k: int, errors: int = 0, both: bool = True, by_file: bool = False) -> str:
+    """f: (file_id, seq_id, pos, freq)."""
+    if by_file:
+        count = "SELECT m.kmer, count(DISTINCT w.file_id) AS freq FROM m JOIN (SELECT DISTINCT kmer, file_id FROM wins) w ON w.kmer = m.hit GROUP BY m.kmer"
+    else:
+        count = "SELECT kmer, sum(cnt)::BIGINT AS freq FROM m GROUP BY kmer"
+    return f"WITH {corpus}, {wins_sql(k)},\n{matches_sql(errors, both)},\nc AS ({count}),\nf AS (SELECT file_id, seq_id, pos, freq FROM wins JOIN c USING (kmer))\n"
+
+
+PER_SEQ = "SELECT file_id, seq_id, count(*) AS positions, sum(freq)::BIGINT AS total, max(freq) AS most FROM f GROUP BY ALL"
+PER_POS = "SELECT file_id, seq_id, pos, freq FROM f"
+
+
+def per_sequence(freq: DataFrame) -> DataFrame:
+    return freq.groupBy("file_id", "seq_id").agg(F.count("*").alias("positions"), F.sum("freq").alias("total"), F.max("freq").alias("most"))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def runs_sql(value: str) -> str:
+    """r: (file_id, seq_id, start, stop, value) of maximal runs of a non-zero value of f."""
+    return f""", v AS (SELECT file_id, seq_id, pos, {value} AS value FROM f),
+r AS (SELECT file_id, seq_id, min(pos) AS start, max(pos) + 1 AS stop, value FROM (SELECT *, pos - row_number() OVER (PARTITION BY file_id, seq_id, value ORDER BY pos) AS g FROM v)
+  GROUP BY file_id, seq_id, value, g)
+"""
+
+
+# --- windows, k-mers, corpus ------------------------------------------------------------------------------------------
+@query("kmer_windows", f"WITH {DOCS}, {wins_sql(K)} SELECT file_id, seq_id, count(*) AS n, count(DISTINCT kmer) AS different FROM wins GROUP BY ALL")
+def _(spark, sf_dir):
+    return windows.windows(documents(spark, sf_dir).sequences, K).groupBy("file_id", "seq_id").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("different"))
+
+
+@query("kmer_count", f"WITH {DOCS}, {wins_sql(8)} SELECT kmer, count(*) AS cnt FROM wins WHERE NOT contains(kmer, 'N') GROUP BY kmer")
+def _(spark, sf_dir):
+    return windows.kmers(windows.windows(documents(spark, sf_dir).sequences, 8))
+
+
+@query("kmer_count_by_file", f"WITH {DOCS}, {wins_sql(6)} SELECT kmer, file_id, count(*) AS cnt FROM wins WHERE length(replace(kmer, 'N', '')) >= 5 GROUP BY ALL")
+def _(spark, sf_dir):
+    return windows.kmers(windows.windows(documents(spark, sf_dir).sequences, 6), errors=1, by=("file_id",))
+
+
+@query("postings", f"WITH {ITEMS}, {wins_sql(12)} SELECT kmer, file_id AS hit_file_id, seq_id AS hit_seq_id, pos AS hit_pos FROM wins")
+def _(spark, sf_dir):
+    return windows.postings(windows.windows(benchmark(spark, sf_dir).sequences, 12))
+
+
+@query("normalise_alphabet", "SELECT doc_id, md5(regexp_replace(translate(text, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g')) AS digest FROM documents")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(normalise(F.col("text"))).alias("digest"))
+
+
+@query("revcomp", f"WITH {DOCS} SELECT seq_id, md5({RC.format('seq')}) AS digest FROM seqs")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).sequences.select("seq_id", F.md5(revcomp(F.col("seq"))).alias("digest"))
+
+
+@query("corpus_stats", f"WITH {DOCS} SELECT count(*) AS n_seq, max(seq_len) AS max_len, (sum(seq_len) + count(*))::BIGINT AS total_len, bool_or(contains(seq, 'N')) AS has_n FROM seqs")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).statistics()
+
+
+@query("cumulative_lengths", f"WITH {DOCS} SELECT file_id, file_name, seq_id, seq_id::VARCHAR AS seq_name, seq_len, (sum(seq_len) OVER (PARTITION BY file_id ORDER BY seq_id) - seq_len)::BIGINT AS before FROM seqs")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).directory()
+
+
+@query("chrom_sizes", f"WITH {DOCS} SELECT file_id, file_name, seq_id, seq_id || chr(9) || seq_len AS line FROM seqs")
+def _(spark, sf_dir):
+    return sinks.chrom_sizes(documents(spark, sf_dir).sequences).drop("start")
+
+
+# --- frequency without errors -------------------------------------------------------------------------------------------
+@query("freq_e0_both", freq_sql(DOCS, K) + PER_POS)
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).frequency(K)
+
+
+@query("freq_e0_fwd", freq_sql(DOCS, K, both=False) + PER_SEQ)
+def _(spark, sf_dir):
+    return per_sequence(documents(spark, sf_dir).frequency(K, reverse_complement=False))
+
+
+@query("freq_e0_palindromes", freq_sql(DOCS, 4) + "SELECT kmer, freq FROM c")
+def _(spark, sf_dir):
+    seqs = documents(spark, sf_dir).sequences
+    wins = windows.windows(seqs, 4)
+    return wins.join(fr.frequency(seqs, 4), ["file_id", "seq_id", "pos"]).groupBy("kmer").agg(F.max("freq").alias("freq"))
+
+
+@query("freq_k101", freq_sql(DOCS, 101) + PER_SEQ)
+def _(spark, sf_dir):
+    return per_sequence(documents(spark, sf_dir).frequency(101))
+
+
+@query("freq8_saturated", freq_sql(DOCS, 6) + "SELECT least(freq, 255) AS value, count(*) AS n FROM f GROUP BY 1")
+def _(spark, sf_dir):
+    return fr.with_value(documents(spark, sf_dir).frequency(6), "freq8").groupBy("value").agg(F.count("*").alias("n"))
+
+
+DENSE = """SELECT p.file_id, p.seq_id, count(*) AS n, sum(least(coalesce(freq, 0), 65535) * (p.pos + 1))::BIGINT AS weighted, count(*) FILTER (freq IS NULL) AS zeros
+FROM (SELECT file_id, seq_id, unnest(range(0, seq_len)) AS pos FROM seqs) p LEFT JOIN f USING (file_id, seq_id, pos) GROUP BY ALL"""
+
+
+@query("freq16_dense", freq_sql(DOCS, 8) + DENSE)
+def _(spark, sf_dir):
+    rows = documents(spark, sf_dir).mappability(8, value="freq16")
+    return rows.groupBy("file_id", "seq_id").agg(F.count("*").alias("n"), F.sum(F.col("value") * (F.col("pos") + 1)).alias("weighted"), F.count(F.when(F.col("freq") == 0, 1)).alias("zeros"))
+
+
+@query("mappability_e0", freq_sql(DOCS, K) + "SELECT (1::FLOAT / least(freq, 65535)::FLOAT)::DOUBLE AS mappability, count(*) AS n FROM f GROUP BY 1")
+def _(spark, sf_dir):
+    return fr.with_value(documents(spark, sf_dir).frequency(K)).groupBy(F.col("value").cast("double").alias("mappability")).agg(F.count("*").alias("n"))
+
+
+@query("exclude_pseudo_e0", freq_sql(DOCS, K, by_file=True) + PER_SEQ)
+def _(spark, sf_dir):
+    return per_sequence(documents(spark, sf_dir).frequency(K, exclude_pseudo=True))
+
+
+@query("unique_kmers", freq_sql(DOCS, K) + "SELECT file_id, seq_id, count(*) AS n FROM f WHERE freq = 1 GROUP BY ALL")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).frequency(K).filter("freq = 1").groupBy("file_id", "seq_id").agg(F.count("*").alias("n"))
+
+
+@query("shared_by_all_files", f"WITH {DOCS}, {wins_sql(16)} SELECT least(kmer, {RC.format('kmer')}) AS marker, count(*) AS n FROM wins WHERE NOT contains(kmer, 'N') GROUP BY 1 HAVING count(DISTINCT file_id) = (SELECT count(DISTINCT file_id) FROM seqs)")
+def _(spark, sf_dir):
+    seqs = documents(spark, sf_dir).sequences
+    files = seqs.select("file_id").distinct().count()
+    wins = windows.windows(seqs, 16).filter(~F.contains("kmer", F.lit("N")))
+    found = wins.groupBy(canonical(F.col("kmer")).alias("marker")).agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
+    return found.filter(F.col("files") == files).select("marker", "n")
+
+
+SELECTED = " WHERE EXISTS (SELECT 1 FROM seqs s WHERE s.seq_id = f.seq_id AND s.seq_len >= 60 AND f.pos >= s.seq_id % 17 AND f.pos < s.seq_id % 17 + 40)"
+
+
+@query("selection_e0", freq_sql(DOCS, K) + PER_POS + SELECTED)
+def _(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return corpus.frequency(K, selection=intervals(corpus))
+
+
+# --- with errors ----------------------------------------------------------------------------------------------------------
+for _errors, _k in ((1, 12), (2, 14), (3, 16), (4, 20)):
+    def _run(spark, sf_dir, k=_k, errors=_errors):
+        return benchmark(spark, sf_dir).frequency(k, errors)
+
+    query(f"freq_e{_errors}", freq_sql(ITEMS, _k, _errors) + PER_POS)(_run)
+
+
+@query("freq_e2_k36", freq_sql(ITEMS, 36, 2) + PER_POS)
+def _(spark, sf_dir):
+    return benchmark(spark, sf_dir).frequency(36, 2)
+
+
+@query("mappability_e1", freq_sql(ITEMS, 12, 1, both=False) + "SELECT file_id, seq_id, pos, (1::FLOAT / least(freq, 65535)::FLOAT)::DOUBLE AS value FROM f")
+def _(spark, sf_dir):
+    rows = fr.with_value(benchmark(spark, sf_dir).frequency(12, 1, reverse_complement=False))
+    return rows.select("file_id", "seq_id", "pos", F.col("value").cast("double").alias("value"))
+
+
+@query("exclude_pseudo_e1", freq_sql(ITEMS, 12, 1, by_file=True) + PER_POS)
+def _(spark, sf_dir):
+    return benchmark(spark, sf_dir).frequency(12, 1, exclude_pseudo=True)
+
+
+@query("selection_e1", freq_sql(ITEMS, 12, 1) + PER_POS + SELECTED)
+def _(spark, sf_dir):
+    corpus = benchmark(spark, sf_dir)
+    return corpus.frequency(12, 1, selection=intervals(corpus))
+
+
+# --- locations ------------------------------------------------------------------------------------------------------------
+def located_sql(errors: int) -> str:
+    """l: (file_id, seq_id, pos, strand, hit_file_id, hit_seq_id, hit_pos)."""
+    return f"""WITH {ITEMS}, {wins_sql(12)},\n{matches_sql(errors)},
+l AS (SELECT w.file_id, w.seq_id, w.pos, m.strand, t.file_id AS hit_file_id, t.seq_id AS hit_seq_id, t.pos AS hit_pos FROM wins w JOIN m USING (kmer) JOIN wins t ON t.kmer = m.hit)
+"""
+
+
+@query("locate_e0", located_sql(0) + "SELECT * FROM l")
+def _(spark, sf_dir):
+    return benchmark(spark, sf_dir).locate(12)
+
+
+HITS = "coalesce(string_agg(hit_file_id || ':' || hit_seq_id || ':' || hit_pos, '|' ORDER BY hit_file_id, hit_seq_id, hit_pos) FILTER (strand = '{}'), '') AS {}"
+
+
+@query("locate_e1_nested", located_sql(1) + f"SELECT file_id, seq_id, pos, {HITS.format('+', 'plus')}, {HITS.format('-', 'minus')} FROM l GROUP BY file_id, seq_id, pos")
+def _(spark, sf_dir):
+    def text(name):
+        return F.array_join(F.transform(name, lambda h: F.concat_ws(":", h["hit_file_id"].cast("string"), h["hit_seq_id"].cast("string"), h["hit_pos"].cast("string"))), "|").alias(name)
+
+    return lo.nested(benchmark(spark, sf_dir).locate(12, 1)).select("file_id", "seq_id", "pos", text("plus"), text("minus"))
+
+
+CELL = "coalesce(string_agg(hit_seq_id || ',' || hit_pos, '|' ORDER BY hit_seq_id, hit_pos) FILTER (strand = '{}' AND hit_file_id = {}), '')"
+
+
+@query("csv_rows", located_sql(1) + "SELECT file_id, seq_id, pos, seq_id || ',' || pos || ';' || " + " || ';' || ".join(CELL.format(s, i) for s in "+-" for i in range(4)) + " AS line FROM l GROUP BY file_id, seq_id, pos")
+def _(spark, sf_dir):
+    corpus = benchmark(spark, sf_dir)
+    return lo.csv_rows(corpus.locate(12, 1), corpus.sequences)
+
+
+# --- runs and encodings ----------------------------------------------------------------------------------------------------
+@query("runs", freq_sql(DOCS, 12) + runs_sql("freq") + 'SELECT file_id, seq_id, start, stop AS "end", value FROM r')
+def _(spark, sf_dir):
+    return runs(documents(spark, sf_dir).frequency(12), "freq")
+
+
+MAP_TEXT = "printf('%g', (1::FLOAT / value::FLOAT))"
+NAMED = "FROM r JOIN (SELECT file_id, file_name, seq_id FROM seqs) s USING (file_id, seq_id)"
+
+
+@query("bedgraph_lines", freq_sql(DOCS, K) + runs_sql("least(freq, 65535)") + f"SELECT file_id, file_name, seq_id, start, seq_id || chr(9) || start || chr(9) || stop || chr(9) || {MAP_TEXT} AS line {NAMED}")
+def _(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return sinks.bedgraph(corpus.frequency(K), corpus.sequences)
+
+
+@query("bed_lines", freq_sql(ITEMS, 12) + runs_sql("least(freq, 255)") + f"SELECT file_id, file_name, seq_id, start, seq_id || chr(9) || start || chr(9) || stop || chr(9) || '-' || chr(9) || value AS line {NAMED}")
+def _(spark, sf_dir):
+    corpus = benchmark(spark, sf_dir)
+    return sinks.bed(corpus.frequency(12), corpus.sequences, "freq8")
+
+
+WIG = """SELECT file_id, file_name, seq_id, start, CASE WHEN before IS DISTINCT FROM span THEN 'variableStep chrom=' || seq_id || ' span=' || span || chr(10) ELSE '' END || (start + 1) || ' ' || value AS line
+FROM (SELECT *, stop - start AS span, lag(stop - start) OVER (PARTITION BY file_id, seq_id ORDER BY start) AS before FROM r) JOIN (SELECT file_id, file_name, seq_id FROM seqs) s USING (file_id, seq_id)"""
+
+
+@query("wig_lines", freq_sql(DOCS, K) + runs_sql("least(freq, 65535)") + WIG)
+def _(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return sinks.wig(corpus.frequency(K), corpus.sequences, "freq16")
+
+
+TXT = f"""SELECT file_id, any_value(file_name) AS file_name, seq_id, '>' || seq_id || chr(10) || string_agg(CASE WHEN value IS NULL THEN '0' ELSE {MAP_TEXT} END, ' ' ORDER BY pos) AS line
+FROM (SELECT file_id, file_name, seq_id, unnest(range(0, seq_len)) AS pos FROM seqs) p LEFT JOIN (SELECT file_id, seq_id, pos, least(freq, 65535) AS value FROM f) USING (file_id, seq_id, pos) GROUP BY file_id, seq_id"""
+
+
+@query("txt_lines", freq_sql(DOCS, K) + TXT)
+def _(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return sinks.txt(corpus.frequency(K), corpus.sequences).drop("start")
+
+
+@query("raw_payloads")
+def _(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return sinks.raw(corpus.frequency(K), corpus.sequences)
