@@ -129,7 +129,7 @@ def write_lines(lines: DataFrame, path: str, extension: str, header: dict[str, s
         own = lines.filter(F.col("file_id") == row.file_id)
         text = own.repartitionByRange("seq_id", "start").sortWithinPartitions("seq_id", "start").select("line")
         if header and row.file_name in header:
-            text = spark.createDataFrame([(header[row.file_name],)], "line string").unionAll(text)
+            text = spark.createDataFrame([(header[row.file_name],)], "line string").coalesce(1).unionAll(text)
         text.write.text(f"{path}/{output_name(row.file_name, extension)}")
 
 

@@ -36,7 +36,7 @@ def _fasta(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def _fastq(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Records of four lines, from whole files."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     lines = rows.select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
     at = F.sequence(F.lit(0), F.greatest(F.size("lines") - 2, F.lit(0)), F.lit(4))
     each = lines.select("path", "lines", F.explode(at).alias("i")).filter(F.startswith(F.get("lines", F.col("i")), F.lit("@")))
