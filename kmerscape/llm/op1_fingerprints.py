@@ -23,6 +23,8 @@ from .op4_exact_dedup import text_of
 from .shared import hash_partitions
 
 BUCKETS = 256
+#: Bytes of text whose triplets are counted at a time.
+SLICE = 1 << 20
 #: The mean difference of two independent bodies: 256 buckets with 1.625 steps each (pairs of quartiles 0, 1, 2 or 6 apart).
 BOUND = 416
 #: Texts whose lengths differ by this factor are one length step apart.
@@ -80,7 +82,7 @@ def digest(df: DataFrame, text: str = "text") -> DataFrame:
     @F.arrow_udf("string")
     def fingerprint(texts: pa.Array) -> pa.Array:
         out = []
-        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], limit=SLICE):
             out += to_text(codes_of(*flat(part.column(0))))
         return pa.array(out, pa.string())
 
@@ -122,7 +124,7 @@ def edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     and the likeness to the edited text and to the next document."""
 
     def compare(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             texts, heads, chars = (array_of(part, c).to_pylist() for c in ("text", "head", "n_chars"))
             new = pa.array([t[: n - n // 3] + h for t, h, n in zip(texts, heads, chars)], pa.large_string())
             data, offsets = flat(new)

@@ -34,8 +34,8 @@ SAMPLE = 4096
 NEIGHBOURS = 15
 SHARPNESS = 8.0
 THRESHOLD = 0.3
-#: Documents of one product.
-ROWS = 1024
+#: Documents of one product, and bytes of their texts.
+ROWS, SLICE = 1024, 1 << 20
 
 
 class Model(NamedTuple):
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     chosen = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
 
     def numbers(batches):
-        for part in slices(batches, rows=ROWS):
+        for part in slices(batches, limit=SLICE, rows=ROWS):
             x = features(*flat(part.column(2)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
@@ -141,7 +141,7 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         own, out = Model(*shared.value), [np.zeros(0)]
-        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], rows=ROWS):
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], limit=SLICE, rows=ROWS):
             out.append(score(own, features(*flat(part.column(0)))))
         return pa.array(np.concatenate(out))
 
