@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import canonical, n_count, revcomp
+from ..functions.alphabet import n_count
 from .match import check, pairs, queries_of
 from .windows import in_intervals, kmers, positions, windows
 
@@ -13,16 +13,19 @@ from .windows import in_intervals, kmers, positions, windows
 MAX = {"freq8": 255, "freq16": 65535, "mappability": 65535}
 
 
-def _exact(wins: DataFrame, wanted: DataFrame, both: bool, by_file: bool) -> DataFrame:
-    """(kmer, freq) without errors. Both strands meet under the canonical k-mer, in one aggregate."""
-    key = canonical(F.col("kmer")) if both else F.col("kmer")
-    clean = wins.filter(~F.contains("kmer", F.lit("N"))).select(key.alias("key"), "file_id")
+def _exact(sequences: DataFrame, k: int, both: bool, by_file: bool, selection: DataFrame | None) -> DataFrame:
+    """(file_id, seq_id, pos, freq) without errors. Both strands meet under the canonical k-mer, in one aggregate."""
+    wins = windows(sequences, k, other_strand=both).filter(~F.contains("kmer", F.lit("N")))
+    key = F.least("kmer", "rc") if both else F.col("kmer")
     if by_file:
-        counted = clean.groupBy("key").agg(F.count_distinct("file_id").alias("freq"))
+        counted = wins.select(key.alias("key"), "file_id").groupBy("key").agg(F.count_distinct("file_id").alias("freq"))
+    elif both:
+        # a palindrome is its own reverse complement and counts on both strands
+        counted = wins.select(key.alias("key"), F.when(F.col("kmer") == F.col("rc"), 2).otherwise(1).cast("long").alias("n")).groupBy("key").agg(F.sum("n").alias("freq"))
     else:
-        counted = clean.groupBy("key").agg(F.count("*").alias("n"))
-        counted = counted.select("key", F.when(F.lit(both) & (F.col("key") == revcomp(F.col("key"))), 2 * F.col("n")).otherwise(F.col("n")).alias("freq"))
-    return wanted.filter(~F.contains("kmer", F.lit("N"))).withColumn("key", key).join(counted, "key").drop("key")
+        counted = wins.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("freq"))
+    wanted = wins if selection is None else in_intervals(wins, sequences, selection)
+    return wanted.select("file_id", "seq_id", "pos", key.alias("key")).join(counted, "key").drop("key")
 
 
 def _approximate(wins: DataFrame, wanted: DataFrame, k: int, errors: int, both: bool, by_file: bool) -> DataFrame:
@@ -41,13 +44,14 @@ def frequency(sequences: DataFrame, k: int, errors: int = 0, reverse_complement:
     """(file_id, seq_id, pos, freq) of windows that have a hit. With ``exclude_pseudo`` freq is the number of files with
     one. ``selection`` (seq_name, begin, end) restricts the windows that ask, not those that answer."""
     check(k, errors)
+    if errors == 0:
+        return _exact(sequences, k, reverse_complement, exclude_pseudo, selection)
     wins = windows(sequences, k)
     wanted = wins if selection is None else in_intervals(wins, sequences, selection)
     if k <= errors:  # every window matches every other one
         total = wins.agg((F.count_distinct("file_id") if exclude_pseudo else F.count("*") * (2 if reverse_complement else 1)).alias("freq"))
         return wanted.select("file_id", "seq_id", "pos").join(F.broadcast(total))  # one row
-    found = _exact(wins, wanted, reverse_complement, exclude_pseudo) if errors == 0 else _approximate(wins, wanted, k, errors, reverse_complement, exclude_pseudo)
-    return found.select("file_id", "seq_id", "pos", "freq")
+    return _approximate(wins, wanted, k, errors, reverse_complement, exclude_pseudo).select("file_id", "seq_id", "pos", "freq")
 
 
 def dense(freq: DataFrame, sequences: DataFrame) -> DataFrame:

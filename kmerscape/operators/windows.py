@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import n_count
+from ..functions.alphabet import n_count, revcomp
 
-CHUNK = 512
+#: Windows of a chunk. A substring costs as much as the string before it, so chunks are short.
+CHUNK = 96
 
 
 def chunks(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
@@ -21,13 +22,19 @@ def chunks(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
     return own.select("file_id", "seq_id", "chunk_start", F.substring("seq", (F.col("chunk_start") + 1).cast("int"), F.lit(size + k - 1)).alias("bases"))
 
 
-def windows(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
-    """(file_id, seq_id, pos, kmer): one row per window; none spans two sequences."""
+def windows(sequences: DataFrame, k: int, size: int = CHUNK, other_strand: bool = False) -> DataFrame:
+    """(file_id, seq_id, pos, kmer): one row per window; none spans two sequences. ``other_strand`` adds rc, the reverse
+    complement, which is cut from the chunk's."""
     if k < 1:
         raise ValueError("k must be at least 1")
     offsets = F.sequence(F.lit(0), F.least(F.lit(size - 1), F.length("bases") - k))
-    each = chunks(sequences, k, size).select("file_id", "seq_id", "chunk_start", "bases", F.explode(offsets).alias("o"))
-    return each.select("file_id", "seq_id", (F.col("chunk_start") + F.col("o")).alias("pos"), F.substring("bases", F.col("o") + 1, F.lit(k)).alias("kmer"))
+    cut = chunks(sequences, k, size)
+    if other_strand:  # a step of its own, so that it is done once per chunk
+        cut = cut.withColumn("other", revcomp(F.col("bases")))
+    each = cut.select("*", F.explode(offsets).alias("o"))
+    kmer = F.substring("bases", F.col("o") + 1, F.lit(k)).alias("kmer")
+    rc = [F.substring("other", F.length("other") - F.col("o") - k + 1, F.lit(k)).alias("rc")] if other_strand else []
+    return each.select("file_id", "seq_id", (F.col("chunk_start") + F.col("o")).alias("pos"), kmer, *rc)
 
 
 def positions(sequences: DataFrame) -> DataFrame:
