@@ -6,12 +6,16 @@ with the same anchor form a run of at most window - gram + 1 windows.
 
 1. Anchors are counted over the whole corpus (hashes only; pre-aggregated). Those that occur once are done with.
 2. A Bloom filter of the repeated anchors (its size is checked and bounded; a fuller filter passes more runs and never
-   fewer) is broadcast; runs that pass it are written as segments: the tokens that their windows cover.
-3. Segments of equal content are collapsed to one row with a count and the first place, whatever the number of copies.
-4. Segments are dealt by anchor, which keeps equal windows together. Where more than ``HOT`` distinct segments share an
-   anchor (a frequent passage in ever new context), they are dealt window by window instead, by the window's hash.
-5. The operator's kernel decides which windows of a segment repeat: one bit per window. A join brings the bits back to
-   the runs, and one on document and text hash brings them to the documents.
+   fewer) is broadcast; the texts are read again, and runs that pass it are written: a slim row each, and their segments
+   (the bytes that the windows cover), of which a task collapses equal ones to a row with a count and the first place.
+   Where an anchor has more than ``HOT`` runs (a frequent passage, perhaps in ever new context), each window is a run of
+   its own, and is dealt by its own hash.
+3. Segments are dealt by anchor, which keeps equal windows together. The operator's kernel merges equal segments and
+   decides which windows of a segment repeat: one bit per window.
+4. A join brings the bits back to the runs; documents without any (a Bloom filter of the others tells) pass straight
+   through, and a join on document and text hash brings the marks to the rest.
+
+Tables that are no longer read are removed, and shuffles that nothing holds any more are released, as the steps go.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .flat import BYTE_VALUES, Rolling, array_of, binary_array, flat, is_blank, mix, slices, spread, starts_of, word_hashes, words
-from .shared import hash_partitions, written
+from .shared import drop, hash_partitions, written
 
-#: Distinct segments of one anchor beyond which they are dealt by window.
+#: Runs of one anchor beyond which they are dealt by window.
 HOT = 20_000
+#: Bytes of segments that a task holds before it writes them.
+HELD = 8 << 20
 #: Bytes of text whose anchors are found at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 NULL_ID = -(1 << 63)
 #: Bytes of an anchor that the range partitioner sees.
 LEAD = 16
@@ -95,12 +101,55 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """A written table of the runs whose anchor repeats: h, sid (anchor and content), doc_id, tkey, a (first window), n,
-    lead (the anchor's first bytes), and content (the bytes that the windows cover), which is given once per slice; and
-    one of the repeated anchors with the numbers of their runs."""
+def merged(h, sid, doc, a, copies) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the first place of each distinct (h, sid), in the order of the rows; its copies)."""
+    order = np.lexsort((a, doc, sid, h))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (sid[order][1:] != sid[order][:-1])
+    starts = np.flatnonzero(fresh)
+    first = order[starts]
+    total = np.add.reduceat(copies[order], starts) if len(starts) else copies[:0]
+    again = np.argsort(first)
+    return first[again], total[again]
+
+
+class _Segments:
+    """Segments that a task holds: columns h, sid, doc, a, copies, n, route, p (place of the anchor's bytes), content."""
+
+    schema = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("sid", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("copies", pa.int64()), ("route", pa.int64()), ("p", pa.int32()), ("content", pa.binary())])
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, columns: list[np.ndarray], data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        row, copies = merged(*columns[:4], np.ones(len(columns[0]), np.int64))
+        content = data[spread(begin[row], length[row])]
+        self.parts.append(([c[row] for c in columns], copies, content, length[row]))
+        self.size += len(content)
+
+    def batches(self):
+        if not self.parts:
+            return
+        columns = [np.concatenate(c) for c in zip(*[p[0] for p in self.parts])]
+        content, length = np.concatenate([p[2] for p in self.parts]), np.concatenate([p[3] for p in self.parts])
+        row, copies = merged(*columns[:4], np.concatenate([p[1] for p in self.parts]))
+        at = starts_of(length)[:-1]
+        self.parts, self.size = [], 0
+        for some in np.array_split(np.arange(len(row)), max(1, len(row) >> 14)):
+            h, sid, doc, a, n, route, p = (c[row[some]] for c in columns)
+            own = length[row[some]]
+            raw = binary_array(content[spread(at[row[some]], own)], starts_of(own)).cast(pa.binary())
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), signed(h), signed(sid), pa.array(doc), none, pa.array(a), pa.array(n.astype(np.int32)), pa.array(copies[some]), signed(route), pa.array(p.astype(np.int32)), raw], schema=self.schema)
+
+
+def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int, hot: int = HOT) -> DataFrame:
+    """A written table of two kinds of rows. 0: the runs whose anchor repeats: h (anchor), sid (anchor and content), doc_id,
+    tkey, a (first window), n. 1: their segments, collapsed by task: h, sid, doc_id and a of the first place, n, copies,
+    route, p (the anchor's place in content), content. doc_id is NULL_ID for null."""
     if not 1 <= window - gram + 1 <= 63:
         raise ValueError("a run must have 1 to 63 windows")
+    spark = docs.sparkSession
 
     def count(batches):
         for part in slices(batches, limit=SLICE):
@@ -110,124 +159,110 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int)
             yield pa.RecordBatch.from_arrays([signed(h), pa.array(n.astype(np.int32))], ["h", "n"])
 
     repeated = written(docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated.select("h"), bloom.pages_for(repeated.count(), max_bits=max_bits), least=1))
+    filters = []
+    for least in (1, hot):
+        some = repeated.filter(F.col("n") > least)
+        rows = some.count()
+        filters.append(bloom.build(some.select("h"), bloom.pages_for(rows, max_bits=max_bits), least=1) if rows else None)
+    shared = spark.sparkContext.broadcast(filters)
+    drop(repeated)
 
     def extract(batches):
-        for part in slices(batches, limit=SLICE):
+        known, hot_ones = shared.value
+        held = _Segments()
+        for part in slices(batches, limit=SLICE) if known is not None else ():
             data, offsets = flat(array_of(part, "text"))
             values, bounds, span = kind.tokens(data, offsets)
             roll = Rolling(values, 0x8CB92BA72F3D8DD7)
             start, n, place, h = runs(roll, bounds, window, gram)
-            some = bloom.contains(bits.value, h)
+            some = bloom.contains(known, h)
             start, n, place, h = start[some], n[some], place[some], h[some]
+            apart = bloom.contains(hot_ones, h) if hot_ones is not None else np.zeros(len(h), bool)
+            if apart.any():
+                each = np.where(apart, n, 1)
+                row = np.repeat(np.arange(len(h)), each)
+                off = spread(np.zeros(len(h), np.int64), each)
+                start, n, place, h, apart = start[row] + off, np.where(apart[row], 1, n[row]), place[row], h[row], apart[row]
             size = n + window - 1
-            sid = mix(roll.of(start, start + size) ^ mix(((place - start) * 64 + n).astype(np.uint64)))
-            both = np.empty(len(h), [("h", np.uint64), ("s", np.uint64)])
-            both["h"], both["s"] = h, sid
-            _, once = np.unique(both, return_index=True)
-            given = np.zeros(len(h), bool)
-            given[once] = True
-            begin, own = span(start, np.where(given, size, 0))
-            content = binary_array(data[spread(begin, own)], starts_of(own)).cast(pa.binary())
-            content = pa.Array.from_buffers(pa.binary(), len(h), [pa.py_buffer(np.packbits(given, bitorder="little")), *content.buffers()[1:]])
-            begin, own = span(place, np.full(len(h), gram))
-            own = np.minimum(own, LEAD)
-            lead = binary_array(data[spread(begin, own)], starts_of(own)).cast(pa.binary())
+            own = roll.of(start, start + size)
+            sid = mix(own ^ mix(((place - start) * 64 + n).astype(np.uint64)))
             doc = np.searchsorted(bounds, start, side="right") - 1
-            take = pa.array(doc)
+            ids, a = array_of(part, "doc_id").to_numpy()[doc], start - bounds[doc]
+            zeros = pa.nulls(len(h), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [signed(h), signed(sid), array_of(part, "doc_id").take(take), array_of(part, "tkey").take(take), pa.array(start - bounds[doc]), pa.array(n.astype(np.int32)), lead, content],
-                ["h", "sid", "doc_id", "tkey", "a", "n", "lead", "content"],
+                [pa.array(np.zeros(len(h), np.int8)), signed(h), signed(sid), pa.array(ids), pa.array(array_of(part, "tkey").to_numpy()[doc]), pa.array(a), pa.array(n.astype(np.int32)), zeros, zeros, pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())],
+                schema=held.schema,
             )
+            begin, length = span(start, size)
+            anchor, _ = span(place, np.full(len(h), gram))
+            held.add([h, sid, ids, a, n, np.where(apart, own, h), np.where(apart, 0, anchor - begin)], data, begin, length)
+            if held.size >= HELD:
+                yield from held.batches()
+        yield from held.batches()
 
-    return written(docs.select("doc_id", "tkey", "text").mapInArrow(extract, "h long, sid long, doc_id long, tkey long, a long, n int, lead binary, content binary"), "segments"), repeated
+    return written(docs.select("doc_id", "tkey", "text").mapInArrow(extract, "kind byte, h long, sid long, doc_id long, tkey long, a long, n int, copies long, route long, p int, content binary"), "segments")
 
 
-def _by_window(kind: Kind, window: int):
-    """A row for each window of a segment, dealt by the window's own hash."""
+def decide(found: DataFrame, kernel: Callable, by_range: bool, limit: int) -> DataFrame:
+    """A written table of h, sid, doc_id and a of the first place, and the kernel's bits: first (windows of the first copy
+    that repeat) and later (of other copies); rows without any bit are left out. A kernel gets about ``limit`` bytes."""
+    n = hash_partitions(found.sparkSession)
+    dealt = found.filter("kind = 1").select("route", "p", "h", "sid", "doc_id", "a", "n", "copies", "content")
+    if by_range:
+        lead = F.substring("content", F.col("p") + 1, F.lit(LEAD))
+        dealt = dealt.repartitionByRange(n, lead, "route").sortWithinPartitions(lead, "route")
+    else:
+        dealt = dealt.drop("p").repartition(n, "route").sortWithinPartitions("route")
 
     def run(batches):
-        for batch in batches:
-            data, offsets = flat(array_of(batch, "content"))
-            values, bounds, span = kind.tokens(data, offsets)
-            n = array_of(batch, "n").to_numpy().astype(np.int64)
-            row, off = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
-            start = bounds[row] + off
-            begin, own = span(start, np.full(len(row), window))
-            lead = np.minimum(own, LEAD)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [binary_array(data[spread(begin, lead)], starts_of(lead)).cast(pa.binary()), signed(Rolling(values, 0x9FB21C651E98DF25).of(start, start + window)), pa.array(off.astype(np.int32))]
-                + [array_of(batch, c).take(take) for c in ("h", "sid", "copies", "doc0")]
-                + [pa.array(array_of(batch, "a0").to_numpy()[row] + off), pa.array(np.ones(len(row), np.int32)), binary_array(data[spread(begin, own)], starts_of(own)).cast(pa.binary())],
-                ["lead", "route", "off", "h", "sid", "copies", "doc0", "a0", "n", "content"],
-            )
+        for table in budgeted(batches, limit):
+            h, sid, doc, a, copies, size = (table.column(c).to_numpy() for c in ("h", "sid", "doc_id", "a", "copies", "n"))
+            row, copies = merged(h, sid, doc, a, copies)
+            data, offsets = flat(table.column("content"))
+            length = np.diff(offsets)[row]
+            first, later = kernel(data[spread(offsets[row], length)], starts_of(length), size[row], copies, doc[row], a[row])
+            some = (first | later) != 0
+            row = row[some]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row], sid[row], doc[row], a[row], first[some], later[some])], ["h", "sid", "doc0", "a0", "first", "later"])
 
-    return run
-
-
-def decide(found: DataFrame, repeated: DataFrame, kernel: Callable, kind: Kind, window: int, by_range: bool, hot: int = HOT) -> DataFrame:
-    """h, sid, doc0, a0 (first place), copies, and the kernel's bits: first (of the first copy) and later (of others)."""
-    spark = found.sparkSession
-    collapsed = (
-        found.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "a")).alias("at"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("content", ignorenulls=True).alias("content"))
-        .select("h", "sid", "copies", F.col("at.doc_id").alias("doc0"), F.col("at.a").alias("a0"), "n", "lead", "content")
-    )
-    # an anchor has no more distinct segments than runs, so few anchors need to be counted
-    often, any_hot = repeated.filter(F.col("n") > hot).select("h"), False
-    if not often.isEmpty():
-        hot_anchors = written(found.select("h", "sid").join(often, "h").distinct().groupBy("h").count().filter(F.col("count") > hot).select("h"), "hot")
-        any_hot = not hot_anchors.isEmpty()
-    if any_hot:
-        collapsed = written(collapsed, "distinct")
-    usual = collapsed.join(hot_anchors, "h", "left_anti") if any_hot else collapsed
-    columns = ["h", "sid", "copies", "doc0", "a0", "n", "content"]
-    dealt = usual.select("lead", F.col("h").alias("route"), F.lit(0).alias("off"), *columns)
-    if any_hot:
-        one = collapsed.join(hot_anchors, "h", "left_semi").select(*columns)
-        dealt = dealt.unionByName(one.mapInArrow(_by_window(kind, window), "lead binary, route long, off int, h long, sid long, copies long, doc0 long, a0 long, n int, content binary"))
-    n = hash_partitions(spark)
-    if by_range:
-        dealt = dealt.repartitionByRange(n, "lead", "route").sortWithinPartitions("lead", "route")
-    else:
-        dealt = dealt.drop("lead").repartition(n, "route").sortWithinPartitions("route")
-    bits = dealt.mapInArrow(kernel, "h long, sid long, doc0 long, a0 long, copies long, off int, first long, later long")
-    if any_hot:
-        bits = bits.groupBy("h", "sid").agg(F.min("doc0").alias("doc0"), F.min(F.col("a0") - F.col("off")).alias("a0"), F.max("copies").alias("copies"), F.bit_or("first").alias("first"), F.bit_or("later").alias("later"))
-    return bits.select("h", "sid", "doc0", "a0", "copies", "first", "later")
+    return written(dealt.mapInArrow(run, "h long, sid long, doc0 long, a0 long, first long, later long"), "bits")
 
 
-def budgeted(batches, limit: int, names: list[str]):
+def budgeted(batches, limit: int):
     """Tables of rows of about ``limit`` bytes of content; rows of one route stay together."""
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        size += batch.column(batch.schema.get_field_index("content")).nbytes
-        if size >= limit:
-            table = pa.Table.from_batches(held).combine_chunks()
-            route = table.column("route").to_numpy()
-            sizes = np.cumsum(np.asarray(pa.compute.binary_length(table.column("content")).fill_null(0)).astype(np.int64))
-            turns = np.flatnonzero(np.diff(route) != 0) + 1
-            start = 0
-            for turn in turns.tolist():
-                if sizes[turn - 1] - (sizes[start - 1] if start else 0) >= limit:
-                    yield table.slice(start, turn - start).select(names)
-                    start = turn
-            rest = table.slice(start)
-            held, size = (rest.combine_chunks().to_batches(), int(sizes[-1] - (sizes[start - 1] if start else 0))) if rest.num_rows else ([], 0)
+        size += array_of(batch, "content").nbytes
+        if size < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        route = table.column("route").to_numpy()
+        ends = np.cumsum(np.diff(flat(table.column("content"))[1]))
+        start = 0
+        for turn in (np.flatnonzero(np.diff(route) != 0) + 1).tolist():
+            if ends[turn - 1] - (ends[start - 1] if start else 0) >= limit:
+                yield table.slice(start, turn - start)
+                start = turn
+        held, size = table.slice(start).to_batches(), int(ends[-1] - (ends[start - 1] if start else 0))
     if held:
-        yield pa.Table.from_batches(held).select(names)
+        yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()
 
 
 def marks(found: DataFrame, bits: DataFrame) -> DataFrame:
-    """doc_id, tkey and the list of (a, mask): windows a + i whose bit i is set repeat."""
+    """A written table of doc_id (NULL_ID for null), tkey and the list of (a, mask): windows a + i whose bit i is set."""
     full = F.when(F.col("n") >= 63, F.lit((1 << 63) - 1)).otherwise(F.expr("shiftleft(1L, n)") - 1)
-    first = F.col("doc_id").eqNullSafe(F.col("doc0")) & (F.col("a") == F.col("a0"))
+    first = (F.col("doc_id") == F.col("doc0")) & (F.col("a") == F.col("a0"))
     mask = F.when(first, F.col("first")).otherwise(F.col("later")).bitwiseAND(full)
-    each = found.drop("content", "lead").join(bits.filter("first != 0 or later != 0"), ["h", "sid"]).select("doc_id", "tkey", "a", mask.alias("mask")).filter("mask != 0")
-    return each.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("a", "mask")).alias("marks"))
+    slim = found.filter("kind = 0").select("h", "sid", "doc_id", "tkey", "a", "n")
+    each = slim.join(bits, ["h", "sid"]).select("doc_id", "tkey", "a", mask.alias("mask")).filter("mask != 0")
+    out = written(each.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("a", "mask")).alias("marks")), "marks")
+    drop(found)
+    drop(bits)
+    return out
 
 
 def covered(marks: pa.Array, bounds: np.ndarray, window: int) -> np.ndarray:
@@ -249,14 +284,39 @@ def covered(marks: pa.Array, bounds: np.ndarray, window: int) -> np.ndarray:
 
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, tkey (hash of the text), text."""
+    """doc_id (NULL_ID for null), tkey (hash of the text), text."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tkey"), body.alias("text"))
+    return df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(body).alias("tkey"), body.alias("text"))
 
 
-def with_marks(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The frame's rows, with all columns, and marks (null: none)."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    m = found.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key"), F.col("marks").alias("__marks"))
-    left = df.withColumn("__body", body).withColumn("__own", F.xxhash64(body))
-    return left.join(m, left[doc_id].cast("long").eqNullSafe(m["__id"]) & (left["__own"] == m["__key"]), "left").drop("__id", "__key", "__own")
+def with_marks(df: DataFrame, found: DataFrame, doc_id: str, text: str, run: Callable, schema, max_bits: int = bloom.MAX_BITS) -> DataFrame:
+    """mapInArrow of ``run`` over the frame's rows, with all columns, __body (the text, null as empty) and __marks (null:
+    none) as the last. Only rows whose document may have marks shuffle; a stage has one Python step."""
+    body, key = F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+    shared = df.sparkSession.sparkContext.broadcast(bloom.build(found.select(F.xxhash64("doc_id", "tkey").alias("h")), bloom.pages_for(found.count(), max_bits=max_bits), least=1))
+    kind = arrow_type(found.schema["marks"].dataType)
+
+    def may_have(h: pa.Array) -> np.ndarray:
+        return bloom.contains(shared.value, h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+    def unmarked(batches):
+        def own():
+            for batch in batches:
+                some = batch.filter(pa.array(~may_have(array_of(batch, "__h"))))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.nulls(some.num_rows, kind)], names)
+
+        return run(own())
+
+    asked = F.arrow_udf(lambda h: pa.array(may_have(h)), "boolean")
+    rows = df.withColumn("__body", body).withColumn("__own", F.xxhash64(body)).withColumn("__doc", key).withColumn("__h", F.xxhash64("__doc", "__own"))
+    m = found.select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__own"), F.col("marks").alias("__marks"))
+    names = [*df.columns, "__body", "__marks"]
+    columns = [f"`{c}`" for c in names[:-1]]
+    plain = rows.select(*columns, "__h").mapInArrow(unmarked, schema)
+    return plain.unionAll(rows.filter(asked("__h")).join(m, ["__doc", "__own"], "left").select(*columns, "__marks").mapInArrow(run, schema))
+
+
+def arrow_type(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)

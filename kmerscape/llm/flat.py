@@ -56,10 +56,17 @@ def binary_array(data: np.ndarray, offsets: np.ndarray, kind=None) -> pa.Array:
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of the ranges [start, start + length), one after the other."""
+    """Indices of the ranges [start, start + length), one after the other; one array of the result's size is made."""
+    some = lengths > 0
+    if not some.all():
+        starts, lengths = starts[some], lengths[some]
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(ends):
+        out[0] = starts[0]
+        out[ends[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
+        np.cumsum(out, out=out)
+    return out
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:
@@ -107,10 +114,10 @@ class Rolling:
         """``values``: well mixed uint64."""
         n = len(values)
         self.base = base | 1
-        self.powers = _powers(self.base, n + 1)
         self.back = _powers(pow(self.base, -1, 1 << 64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.powers[:n], out=self.sums[1:])
+        np.multiply(values, _powers(self.base, n + 1)[:n], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
@@ -136,7 +143,7 @@ def _powers(base: int, n: int) -> np.ndarray:
             known[done : done + more] = known[:more] * np.uint64(step)
             step = step * step & MASK64
             done += more
-        if size <= 2 * SLICE_BYTES:
+        if size <= 1 << 21:
             _POWERS[base] = known
     return known[:n]
 

@@ -17,14 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import anchors, bloom
 from .flat import array_of, flat, sha256_each, slices, spread, starts_of, word_hashes, words
 
 WINDOW = 35
-GRAM = 16
+GRAM = 10
 #: Bytes of segments in a shard.
-SHARD = 5 << 20
+SHARD = 3 << 20
 
 
 class WaveletMatrix:
@@ -138,22 +139,19 @@ def repeated_windows(values: np.ndarray, bounds: np.ndarray, copies: np.ndarray,
     return masks
 
 
-def _kernel(window: int, shard: int):
-    def run(batches):
-        for table in anchors.budgeted(batches, shard, ["h", "sid", "doc0", "a0", "copies", "off", "content"]):
-            data, offsets = flat(table.column("content"))
-            first, end, bounds = words(data, offsets)
-            masks = repeated_windows(word_hashes(data, first, end), bounds, table.column("copies").to_numpy(), window)
-            masks <<= table.column("off").to_numpy()
-            yield from table.drop_columns(["content"]).append_column("first", pa.array(masks)).append_column("later", pa.array(masks)).combine_chunks().to_batches()
+def _kernel(window: int):
+    def run(data, offsets, n, copies, doc, a):
+        first, end, bounds = words(data, offsets)
+        masks = repeated_windows(word_hashes(data, first, end), bounds, copies, window)
+        return masks, masks
 
     return run
 
 
-def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, hot: int = anchors.HOT, shard: int = SHARD) -> DataFrame:
+def repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, hot: int = anchors.HOT) -> DataFrame:
     """doc_id, tkey (hash of the text) and marks: windows (a + bit of mask) whose words also start elsewhere."""
-    found, repeated = anchors.segments(anchors.keyed(df, doc_id, text), anchors.WORDS, window, gram, max_bits)
-    return anchors.marks(found, anchors.decide(found, repeated, _kernel(window, shard), anchors.WORDS, window, by_range=False, hot=hot))
+    found = anchors.segments(anchors.keyed(df, doc_id, text), anchors.WORDS, window, gram, max_bits, hot)
+    return anchors.marks(found, anchors.decide(found, _kernel(window), False, SHARD))
 
 
 def kept_words(data: np.ndarray, offsets: np.ndarray, marks: pa.Array, window: int):
@@ -174,36 +172,34 @@ def kept_words(data: np.ndarray, offsets: np.ndarray, marks: pa.Array, window: i
 
 def dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows with all columns; the text of rows with repeated windows is the words that are left, joined by spaces."""
-    rows = anchors.with_marks(df, repeats(df, window, gram, doc_id, text, **options), doc_id, text).drop("__body")
     at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for part in slices([batch], text):
+            for part in slices([batch], text, limit=1 << 20):
                 marked = part.column(part.num_columns - 1)
                 data, offsets = flat(part.column(at))
                 joined, bounds, _, removed = kept_words(data, offsets, marked, window)
                 view = joined.tobytes()
                 old = part.column(at).to_pylist()
                 new = [view[a:b].decode() if r else t for a, b, r, t in zip(bounds.tolist(), bounds[1:].tolist(), removed.tolist(), old)]
-                columns = list(part.columns[:-1])
+                columns = list(part.columns[:-2])
                 columns[at] = pa.array(new, part.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-2])
 
-    return rows.select(*[f"`{c}`" for c in df.columns], "__marks").mapInArrow(run, df.schema)
+    return anchors.with_marks(df, repeats(df, window, gram, doc_id, text, **options), doc_id, text, run, df.schema)
 
 
 def report(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    rows = anchors.with_marks(df.select(doc_id, text), repeats(df, window, gram, doc_id, text, **options), doc_id, text)
-
     def run(batches):
-        for part in slices(batches):
-            joined, bounds, n, removed = kept_words(*flat(array_of(part, "text")), array_of(part, "marks"), window)
-            yield pa.RecordBatch.from_arrays([array_of(part, "doc_id"), pa.array(n), pa.array(removed), pa.array(sha256_each(joined, bounds))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for part in slices(batches, "__body", limit=1 << 20):
+            joined, bounds, n, removed = kept_words(*flat(array_of(part, "__body")), array_of(part, "__marks"), window)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array(sha256_each(joined, bounds))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    renamed = rows.selectExpr(f"cast(`{doc_id}` as long) doc_id", "__body text", "__marks marks")
-    return renamed.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    ids = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return anchors.with_marks(ids, repeats(df, window, gram, doc_id, text, **options), "doc_id", "text", run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

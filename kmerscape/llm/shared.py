@@ -22,9 +22,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """The frame, written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation."""
+    """The frame, written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation. Shuffle
+    files that nothing holds any more go when the JVM collects its garbage, so it is asked to."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

@@ -58,16 +58,13 @@ def mixed(seed, n):
     return out + [(n + i, out[i][1]) for i in range(0, n, 3)] + [(2 * n, "la " * 200), (2 * n + 1, "la lo " * 60 + "la " * 50)]
 
 
-OPTIONS = [{}, {"max_bits": 1 << 16, "hot": 3, "small": True}]
+OPTIONS = [{}, {"max_bits": 1 << 16, "hot": 3}, {"hot": 1}]
 
 
 @pytest.mark.parametrize("options", OPTIONS)
 @pytest.mark.parametrize("which", ["cases", "mixed"])
 def test_words(spark, options, which):
     table = [(d, t) for d, t, *_ in rows()] if which == "cases" else mixed(3, 60)
-    options = dict(options)
-    if options.pop("small", False):
-        options["shard"] = 20_000
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
     assert Counter(map(tuple, op5.report(df, **options).collect())) == Counter(brute_words(table, 35))
 
@@ -76,9 +73,6 @@ def test_words(spark, options, which):
 @pytest.mark.parametrize("which", ["cases", "mixed"])
 def test_bytes(spark, options, which):
     table = [(d, t) for d, t, *_ in rows()] if which == "cases" else mixed(4, 40)
-    options = dict(options)
-    if options.pop("small", False):
-        options["bucket"] = 20_000
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
     got = op10.dedup(df, **options).collect()
     assert Counter(tuple(r)[:5] for r in got) == Counter(brute_bytes(table, 100))
