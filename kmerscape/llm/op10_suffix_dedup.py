@@ -17,36 +17,48 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import anchors, bloom
 from .flat import array_of, flat, sha256_each, slices, spread, starts_of
 
 LENGTH = 100
-GRAM = 48
+GRAM = 38
 #: Bytes of segments in a bucket's sort.
 BUCKET = 2 << 20
 LATER = (1 << 63) - 1
 
 
 def tie_groups(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """A group number for each suffix position, equal where the next ``length`` bytes are; -1 where no other is equal."""
+    """A group number for each suffix position, equal where the next ``length`` bytes are; -1 where no other is equal.
+
+    Multikey quicksort with eight bytes a character. Rows are kept in the order of their groups; a round splits the groups
+    that differ in the next character by sorting them on it, and leaves those that agree as they are."""
     out = np.full(len(at), -1, np.int64)
     wide = np.concatenate([data, np.zeros(8, np.uint8)])
-    who, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    eight = np.zeros(len(data) + 1, np.uint64)
+    for byte in range(8):
+        eight = eight << np.uint64(8) | wide[byte : byte + len(eight)]
+    who, starts = np.arange(len(at)), np.zeros(min(len(at), 1), np.int64)
     for depth in range(0, length, 8):
-        key = np.zeros(len(who), np.uint64)
-        for byte in range(min(8, length - depth)):
-            key = key << np.uint64(8) | wide[at[who] + depth + byte]
-        order = np.lexsort((key, group)) if depth else np.argsort(key, kind="stable")
-        who, key, group = who[order], key[order], group[order]
-        change = np.ones(len(who), bool)
-        change[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        number = np.cumsum(change) - 1
-        tied = np.bincount(number, minlength=1)[number] > 1 if len(who) else np.zeros(0, bool)
-        who, group = who[tied], number[tied]
         if not len(who):
             return out
-    out[who] = group
+        key = eight[at[who] + depth]
+        if length - depth < 8:
+            key >>= np.uint64(8 * (8 - (length - depth)))
+        sizes = np.diff(np.append(starts, len(who)))
+        differs = np.repeat(np.logical_or.reduceat(key != np.repeat(key[starts], sizes), starts), sizes)
+        rows = np.flatnonzero(differs)
+        if len(rows):
+            group = np.repeat(np.arange(len(starts)), sizes)[rows]
+            order = rows[np.lexsort((key[rows], group)) if len(starts) > 1 else np.argsort(key[rows], kind="stable")]
+            who[rows], key[rows] = who[order], key[order]
+        fresh = np.zeros(len(who), bool)
+        fresh[starts] = True
+        fresh[1:] |= key[1:] != key[:-1]
+        alone = fresh & np.append(fresh[1:], True)
+        who, starts = who[~alone], np.flatnonzero(fresh[~alone])
+    out[who] = np.cumsum(np.bincount(starts, minlength=len(who))[: len(who)])
     return out
 
 
@@ -74,34 +86,28 @@ def later_windows(data, bounds, copies, doc, start, length) -> tuple[np.ndarray,
     return masks[0], masks[1]
 
 
-def _kernel(length: int, bucket: int):
-    def run(batches):
-        for table in anchors.budgeted(batches, bucket, ["h", "sid", "doc0", "a0", "copies", "off", "content"]):
-            data, offsets = flat(table.column("content"))
-            doc = table.column("doc0").fill_null(anchors.NULL_ID).to_numpy()
-            first, later = later_windows(data, offsets, table.column("copies").to_numpy(), doc, table.column("a0").to_numpy(), length)
-            off = table.column("off").to_numpy()
-            yield from table.drop_columns(["content"]).append_column("first", pa.array(first << off)).append_column("later", pa.array(later << off)).combine_chunks().to_batches()
+def _kernel(length: int):
+    def run(data, offsets, n, copies, doc, a):
+        return later_windows(data, offsets, copies, doc, a, length)
 
     return run
 
 
-def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, hot: int = anchors.HOT, bucket: int = BUCKET) -> DataFrame:
+def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, hot: int = anchors.HOT) -> DataFrame:
     """doc_id, tkey (hash of the text) and marks: windows (a + bit of mask) of bytes that also start earlier."""
-    found, repeated = anchors.segments(anchors.keyed(df, doc_id, text), anchors.BYTES, length, gram, max_bits)
-    return anchors.marks(found, anchors.decide(found, repeated, _kernel(length, bucket), anchors.BYTES, length, by_range=True, hot=hot))
+    found = anchors.segments(anchors.keyed(df, doc_id, text), anchors.BYTES, length, gram, max_bits, hot)
+    return anchors.marks(found, anchors.decide(found, _kernel(length), True, BUCKET))
 
 
 def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", kept: bool = True, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed run) and, where wanted, the
     kept bytes."""
-    rows = anchors.with_marks(df.select(doc_id, text), repeats(df, length, gram, doc_id, text, **options), doc_id, text)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans", "kept"] * kept]
 
     def run(batches):
-        for part in slices(batches):
-            data, offsets = flat(array_of(part, "text"))
-            gone = anchors.covered(array_of(part, "marks"), offsets, length)
+        for part in slices(batches, "__body", limit=1 << 20):
+            data, offsets = flat(array_of(part, "__body"))
+            gone = anchors.covered(array_of(part, "__marks"), offsets, length)
             begins, ends = gone.copy(), gone.copy()
             begins[1:] &= ~gone[:-1]
             ends[:-1] &= ~gone[1:]
@@ -113,7 +119,7 @@ def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "
             spans = np.searchsorted(first, offsets)
             left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
             rest = data[~gone]
-            columns = [array_of(part, "doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(left)), pa.array(np.diff(spans)), pa.array(sha256_each(rest, left))]
+            columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(left)), pa.array(np.diff(spans)), pa.array(sha256_each(rest, left))]
             if kept:
                 doc = np.repeat(offsets[:-1], np.diff(spans))
                 pairs = np.stack([first - doc, np.flatnonzero(ends) + 1 - doc], axis=1).reshape(-1)
@@ -122,8 +128,9 @@ def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "
                 columns += [pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pair), pa.array([raw[a:b] for a, b in zip(left.tolist(), left[1:].tolist())], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    renamed = rows.selectExpr(f"cast(`{doc_id}` as long) doc_id", "__body text", "__marks marks")
-    return renamed.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * kept)
+    ids = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * kept
+    return anchors.with_marks(ids, repeats(df, length, gram, doc_id, text, **options), "doc_id", "text", run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
