@@ -7,14 +7,15 @@ of their buckets' quartile steps (opposite quartiles count double) and the lengt
 Defined cases: null counts as empty; texts under four bytes have the all-zero body; equal texts have equal digests.
 The digest is a map without a shuffle. "The next document" needs an order: rows go once to buckets of doc_id ranges whose
 bounds come from quantiles, and the first row of each range is also sent to the range before it, so that a range has all
-it needs. Rows of equal doc_id are ordered by text; null doc_id comes last.
+it needs. Texts are compressed for the shuffle. Rows of equal doc_id are ordered by their compressed texts; null doc_id
+comes last.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,33 +91,38 @@ def digest(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_next(df: DataFrame, doc_id: str, text: str, ranges: int | None = None) -> DataFrame:
-    """doc_id, text, fingerprint, n_chars, next_fingerprint, and head: the first n_chars / 3 characters of the next
-    document in descending doc_id."""
+    """doc_id, n_chars, fingerprint, z (the compressed text), and fingerprint and z of the next document in descending
+    doc_id."""
     spark = df.sparkSession
     ranges = ranges or 2 * hash_partitions(spark)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     bounds = np.array(sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}), np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return pd.Series(np.where(known, np.searchsorted(bounds, ids.where(known, 0).to_numpy(np.int64), side="right") + 1, 0).astype(np.int32))
+    def range_of(ids: pa.Array) -> np.ndarray:
+        return np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="right") + 1, 0).astype(np.int32)
 
+    def described(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for part in slices(batches, limit=SLICE):
+            data, offsets = flat(array_of(part, "text"))
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+            raw, cuts = data.tobytes(), offsets.tolist()
+            body = pa.array([squeeze(raw[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+            ids = array_of(part, "doc_id")
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(chars)), pa.array(to_text(codes_of(data, offsets)), pa.string()), pa.array(range_of(ids)), body], ["doc_id", "n_chars", "fingerprint", "r", "z"])
+
+    numbered = F.arrow_udf(lambda ids: pa.array(range_of(ids)), "int")
     # one row per range: as many as bounds, not as documents
-    heads = sorted((r[0], r[1]) for r in rows.select(F.coalesce(range_of("doc_id"), F.lit(0)).alias("r"), "doc_id").groupBy("r").agg(F.max("doc_id")).collect())
-    if not heads:
-        heads = [(0, None)]
+    heads = sorted((r[0], r[1]) for r in rows.select(numbered("doc_id").alias("r"), "doc_id").groupBy("r").agg(F.max("doc_id")).collect()) or [(0, None)]
     to = {r: heads[i + 1][0] if i + 1 < len(heads) else heads[0][0] for i, (r, _) in enumerate(heads)}
     heads_df = spark.createDataFrame([(r, top, to[r]) for r, top in heads], "r int, top long, to int")
-    placed = digest(rows).withColumn("r", range_of("doc_id")).join(F.broadcast(heads_df), "r")
+    placed = rows.mapInArrow(described, "doc_id long, n_chars long, fingerprint string, r int, z binary").join(F.broadcast(heads_df), "r")
     own = F.struct(F.col("r").alias("at"), F.lit(0).alias("guard"))
     guard = F.struct(F.col("to").alias("at"), F.lit(1).alias("guard"))
-    dealt = placed.select("doc_id", "text", "fingerprint", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guard)).otherwise(F.array(own))).alias("p"))
-    order = Window.partitionBy("at").orderBy("guard", F.desc_nulls_last("doc_id"), "text")
-    follow = dealt.select("doc_id", "text", "fingerprint", "p.*").select("*", F.lead(F.struct("text", "fingerprint")).over(order).alias("next"))
-    chars = F.length("text")
-    head = F.substring(F.coalesce(F.col("next.text"), F.lit("")), F.lit(1), F.floor(chars / 3).cast("int"))
-    return follow.filter("guard = 0").select("doc_id", "text", "fingerprint", chars.cast("long").alias("n_chars"), F.col("next.fingerprint").alias("next_fingerprint"), head.alias("head"))
+    dealt = placed.select("doc_id", "n_chars", "fingerprint", "z", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guard)).otherwise(F.array(own))).alias("p"))
+    order = Window.partitionBy("at").orderBy("guard", F.desc_nulls_last("doc_id"), "z")
+    follow = dealt.select("doc_id", "n_chars", "fingerprint", "z", "p.*").select("*", F.lead(F.struct("z", "fingerprint")).over(order).alias("next"))
+    return follow.filter("guard = 0").select("doc_id", "n_chars", "fingerprint", "z", F.col("next.fingerprint").alias("next_fingerprint"), F.col("next.z").alias("next_z"))
 
 
 def edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,9 +130,10 @@ def edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     and the likeness to the edited text and to the next document."""
 
     def compare(batches):
-        for part in slices(batches, limit=SLICE):
-            texts, heads, chars = (array_of(part, c).to_pylist() for c in ("text", "head", "n_chars"))
-            new = pa.array([t[: n - n // 3] + h for t, h, n in zip(texts, heads, chars)], pa.large_string())
+        expand = zstandard.ZstdDecompressor().decompress
+        for part in slices(batches, "z", limit=SLICE // 2):
+            texts, heads = ([expand(z).decode() for z in array_of(part, c).to_pylist()] for c in ("z", "next_z"))
+            new = pa.array([t[: n - n // 3] + h[: n // 3] for t, h, n in zip(texts, heads, array_of(part, "n_chars").to_pylist())], pa.large_string())
             data, offsets = flat(new)
             own, following = (from_text(array_of(part, c).to_pylist()) for c in ("fingerprint", "next_fingerprint"))
             changed = codes_of(data, offsets)
