@@ -41,6 +41,8 @@ JOIN, TIE = 0.7, 0.4
 #: Members and bytes of sets of a block.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 SEED = 0x2545F4914F6CDD1D
+#: Bytes of text whose n-grams are made at a time.
+SLICE = 1 << 20
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -137,7 +139,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _describe(size: int, bands: int, rows: int):
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             hashes, bounds = ngrams(*flat(array_of(part, "text")), size)
             first, second = set_keys(hashes, bounds)
             full = signatures(hashes, bounds, bands * rows)
@@ -293,16 +295,14 @@ def join(df: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall:
     bits = spark.sparkContext.broadcast(bloom.build(chosen.select(F.xxhash64("rep.doc_id", "rep.tkey").alias("h")), bloom.pages_for(chosen.count(), max_bits=max_bits), least=1))
 
     def sets(batches):
-        for part in slices(batches):
-            hashes, bounds = ngrams(*flat(array_of(part, "text")), size)
-            first, second = set_keys(hashes, bounds)
-            yield pa.RecordBatch.from_arrays([array_of(part, "doc_id"), array_of(part, "tkey"), signed(first), signed(second), binary_array(hashes.view(np.uint8), bounds * 8).cast(pa.binary())], ["doc_id", "tkey", "k1", "k2", "grams"])
-
-    @F.arrow_udf("boolean")
-    def representative(h: pa.Array) -> pa.Array:
-        return pa.array(bloom.contains(bits.value, h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        for batch in batches:
+            own = bloom.contains(bits.value, array_of(batch, "h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            for part in slices([batch.filter(pa.array(own))], limit=SLICE):
+                hashes, bounds = ngrams(*flat(array_of(part, "text")), size)
+                first, second = set_keys(hashes, bounds)
+                yield pa.RecordBatch.from_arrays([array_of(part, "doc_id"), array_of(part, "tkey"), signed(first), signed(second), binary_array(hashes.view(np.uint8), bounds * 8).cast(pa.binary())], ["doc_id", "tkey", "k1", "k2", "grams"])
 
-    own = keyed.filter(representative(F.xxhash64("doc_id", "tkey"))).mapInArrow(sets, "doc_id long, tkey long, k1 long, k2 long, grams binary")
+    own = keyed.withColumn("h", F.xxhash64("doc_id", "tkey")).mapInArrow(sets, "doc_id long, tkey long, k1 long, k2 long, grams binary")
     wanted = chosen.withColumn("rep_doc", F.col("rep.doc_id")).withColumn("rep_key", F.col("rep.tkey"))
     same = own["k1"].eqNullSafe(wanted["k1"]) & (own["k2"] == wanted["k2"]) & own["doc_id"].eqNullSafe(wanted["rep_doc"]) & (own["tkey"] == wanted["rep_key"])
     given = own.join(wanted, same).select("family", "cid", "copies", "n", "grams")
