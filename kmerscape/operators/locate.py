@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import n_count
 from .match import check, pairs, queries_of
-from .windows import in_intervals, kmers, postings, windows
+from .windows import asking, kmers, postings, total, windows
 
+#: Parts to which the windows are dealt where each meets all others.
+PARTS = 64
 
-def locate(sequences: DataFrame, k: int, errors: int = 0, reverse_complement: bool = True, selection: DataFrame | None = None) -> DataFrame:
+
+def locate(corpus, k: int, errors: int = 0, reverse_complement: bool = True, selection: DataFrame | None = None) -> DataFrame:
     """Long form: (file_id, seq_id, pos, strand, hit_file_id, hit_seq_id, hit_pos); windows without a hit have no row."""
     check(k, errors)
-    wins = windows(sequences, k)
-    wanted = wins if selection is None else in_intervals(wins, sequences, selection)
-    if k <= errors:
+    wins, wanted = windows(corpus, k), asking(corpus, k, selection)
+    if k <= errors:  # every window hits every other one: all pairs are the answer
         strands = F.array(F.lit("+"), F.lit("-")) if reverse_complement else F.array(F.lit("+"))
-        left = wanted.select("file_id", "seq_id", "pos", F.explode(strands).alias("strand"), F.lit(1).alias("x"))
-        return left.join(postings(wins).withColumn("x", F.lit(1)), "x").select("file_id", "seq_id", "pos", "strand", "hit_file_id", "hit_seq_id", "hit_pos")
+        left = wanted.select("file_id", "seq_id", "pos", F.explode(strands).alias("strand"), F.pmod(F.xxhash64("file_id", "seq_id", "pos"), F.lit(PARTS)).alias("x"))
+        right = postings(wins).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        return left.join(right.hint("merge"), "x").select("file_id", "seq_id", "pos", "strand", "hit_file_id", "hit_seq_id", "hit_pos")
     asked = wanted.filter(n_count(F.col("kmer")) <= errors).select("kmer").distinct()
-    found = pairs(queries_of(asked, reverse_complement), kmers(wins, errors), k, errors)
-    hits = found.join(postings(wins).withColumnRenamed("kmer", "hit"), "hit").drop("hit")
-    return wanted.join(hits, "kmer").select("file_id", "seq_id", "pos", "strand", "hit_file_id", "hit_seq_id", "hit_pos")
+    found = pairs(queries_of(asked, reverse_complement), kmers(wins, errors), k, errors, total(corpus.directory, k))
+    hits = found.select("kmer", "strand", "hit").join(postings(wins).withColumnRenamed("kmer", "hit").hint("merge"), "hit").drop("hit")
+    return wanted.join(hits.hint("merge"), "kmer").select("file_id", "seq_id", "pos", "strand", "hit_file_id", "hit_seq_id", "hit_pos")
 
 
 def nested(found: DataFrame) -> DataFrame:
@@ -35,10 +38,10 @@ def nested(found: DataFrame) -> DataFrame:
     return found.groupBy("file_id", "seq_id", "pos").agg(of("+").alias("plus"), of("-").alias("minus"))
 
 
-def csv_rows(found: DataFrame, sequences: DataFrame, reverse_complement: bool = True) -> DataFrame:
+def csv_rows(found: DataFrame, directory: DataFrame, reverse_complement: bool = True) -> DataFrame:
     """(file_id, seq_id, pos, line): the window, then a cell of hits for each file, + before -; `seq,pos` joined by |."""
     # the output has one column per file, so the list of files is as long as a line of its header
-    files = [r.file_id for r in sequences.select("file_id").distinct().orderBy("file_id").collect()]
+    files = [r.file_id for r in directory.select("file_id").distinct().orderBy("file_id").collect()]
     columns = [f"{s}{f}" for s in ("+-" if reverse_complement else "+") for f in files]
     entry = F.struct("hit_seq_id", "hit_pos")
     cells = found.withColumn("cell", F.concat("strand", F.col("hit_file_id").cast("string"))).groupBy("file_id", "seq_id", "pos").pivot("cell", columns).agg(F.sort_array(F.collect_list(entry)))

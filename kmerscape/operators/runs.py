@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions of a sequence whose runs are found in one partition; runs are then joined across the borders.
-STRETCH = 1 << 16
+#: Positions of a sequence whose runs are found in one partition, as a power of two; runs that touch a border are then joined
+#: across it, two rows for each border.
+STRETCH_BITS = 16
 
 
 def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -20,6 +21,18 @@ def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
 def runs(values: DataFrame, value: str = "value") -> DataFrame:
     """(file_id, seq_id, start, end, value) from rows with pos: half-open maximal runs of equal non-zero values. Positions
     without a row, and zeros, end a run."""
-    one = values.filter(F.col(value) != 0).select("file_id", "seq_id", F.shiftright("pos", 16).alias("stretch"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.col(value).alias("value"))
+    one = values.filter(F.col(value) != 0).select("file_id", "seq_id", F.shiftright("pos", STRETCH_BITS).alias("stretch"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.col(value).alias("value"))
     short = _islands(one, ["file_id", "seq_id", "stretch"]).drop("stretch")
-    return _islands(short, ["file_id", "seq_id"])
+    last = F.lit((1 << STRETCH_BITS) - 1)
+    touches = ((F.col("start").bitwiseAND(last) == 0) & (F.col("start") > 0)) | (F.col("end").bitwiseAND(last) == 0)
+    return short.filter(~touches).unionByName(_islands(short.filter(touches), ["file_id", "seq_id"]))
+
+
+def value_before(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the column's value in the row before (by start) of the same sequence; null for the first one. Found by stretch, and
+    from the last row of the last stretch before that has any."""
+    placed = rows.withColumn("_stretch", F.shiftright("start", STRETCH_BITS))
+    inside = F.lag(column).over(Window.partitionBy("file_id", "seq_id", "_stretch").orderBy("start"))
+    ends = placed.groupBy("file_id", "seq_id", "_stretch").agg(F.max_by(column, "start").alias("_end"))
+    carried = ends.select("file_id", "seq_id", "_stretch", F.lag("_end").over(Window.partitionBy("file_id", "seq_id").orderBy("_stretch")).alias("_carried"))
+    return placed.withColumn(name, inside).join(carried, ["file_id", "seq_id", "_stretch"]).withColumn(name, F.coalesce(name, "_carried")).drop("_stretch", "_carried")

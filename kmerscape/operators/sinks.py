@@ -1,18 +1,20 @@
 """Output encodings: txt, wig with chrom.sizes, bedgraph, bed, csv and raw.
 
-Every encoding is first a table of lines (or of payloads) with its file's name and order, made by distributed plans; the
-writers then give each output file its rows. A line is as long as the format asks, so txt has one line per sequence.
+Every encoding is first a table of lines (or of payloads) with its file's name and order, made by distributed plans; one
+write then gives each output its rows. A line is as long as the format asks, so txt has one line per sequence; it is joined
+from the texts of stretches, never from single positions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.place import file_system
 from .frequency import MAX, dense, saturated
-from .runs import runs
+from .runs import STRETCH_BITS, runs, value_before
 
 RAW = {"mappability": ("map", "<f4"), "freq8": ("freq8", "u1"), "freq16": ("freq16", "<u2")}
 
@@ -32,50 +34,53 @@ def printed(rows: DataFrame, value: str, column: str = "freq") -> DataFrame:
     return rows.withColumn("number", saturated(F.col(column), value)).join(table, "number").drop("number")
 
 
-def value_runs(freq: DataFrame, sequences: DataFrame, value: str) -> DataFrame:
+def value_runs(freq: DataFrame, directory: DataFrame, value: str) -> DataFrame:
     """Runs of equal printed values with file_name, seq_name and text."""
     wide = freq.select("file_id", "seq_id", "pos", saturated(F.col("freq"), value).alias("value"))
-    names = sequences.select("file_id", "seq_id", "file_name", "seq_name")
+    names = directory.select("file_id", "seq_id", "file_name", "seq_name")
     return printed(runs(wide).withColumnRenamed("value", "freq"), value).join(names, ["file_id", "seq_id"])
 
 
-def bedgraph(freq: DataFrame, sequences: DataFrame, value: str = "mappability") -> DataFrame:
+def bedgraph(freq: DataFrame, directory: DataFrame, value: str = "mappability") -> DataFrame:
     """(file_id, file_name, seq_id, start, line): name, start, end, value; 0-based and half-open, without zeros."""
-    rows = value_runs(freq, sequences, value)
+    rows = value_runs(freq, directory, value)
     return rows.select("file_id", "file_name", "seq_id", "start", F.concat_ws("\t", "seq_name", F.col("start").cast("string"), F.col("end").cast("string"), "text").alias("line"))
 
 
-def bed(freq: DataFrame, sequences: DataFrame, value: str = "mappability") -> DataFrame:
+def bed(freq: DataFrame, directory: DataFrame, value: str = "mappability") -> DataFrame:
     """As bedgraph, with - in the name's column."""
-    rows = value_runs(freq, sequences, value)
+    rows = value_runs(freq, directory, value)
     return rows.select("file_id", "file_name", "seq_id", "start", F.concat_ws("\t", "seq_name", F.col("start").cast("string"), F.col("end").cast("string"), F.lit("-"), "text").alias("line"))
 
 
-def wig(freq: DataFrame, sequences: DataFrame, value: str = "mappability") -> DataFrame:
+def wig(freq: DataFrame, directory: DataFrame, value: str = "mappability") -> DataFrame:
     """A line of start (from 1) and value for each run; before it a header where the span differs from the run before."""
-    rows = value_runs(freq, sequences, value).withColumn("span", F.col("end") - F.col("start"))
-    before = F.lag("span").over(Window.partitionBy("file_id", "seq_id").orderBy("start"))
-    head = F.when(before.isNull() | (before != F.col("span")), F.concat(F.lit("variableStep chrom="), "seq_name", F.lit(" span="), F.col("span").cast("string"), F.lit("\n"))).otherwise(F.lit(""))
+    rows = value_before(value_runs(freq, directory, value).withColumn("span", F.col("end") - F.col("start")), "span", "before")
+    head = F.when(F.col("before").isNull() | (F.col("before") != F.col("span")), F.concat(F.lit("variableStep chrom="), "seq_name", F.lit(" span="), F.col("span").cast("string"), F.lit("\n"))).otherwise(F.lit(""))
     return rows.select("file_id", "file_name", "seq_id", "start", F.concat(head, (F.col("start") + 1).cast("string"), F.lit(" "), "text").alias("line"))
 
 
-def chrom_sizes(sequences: DataFrame) -> DataFrame:
-    return sequences.select("file_id", "file_name", "seq_id", F.lit(0).cast("long").alias("start"), F.concat_ws("\t", "seq_name", F.col("seq_len").cast("string")).alias("line"))
+def chrom_sizes(directory: DataFrame) -> DataFrame:
+    return directory.select("file_id", "file_name", "seq_id", F.lit(0).cast("long").alias("start"), F.concat_ws("\t", "seq_name", F.col("seq_len").cast("string")).alias("line"))
 
 
-def txt(freq: DataFrame, sequences: DataFrame, value: str = "mappability") -> DataFrame:
+def txt(freq: DataFrame, directory: DataFrame, value: str = "mappability") -> DataFrame:
     """`>name` and a line of all values of the sequence, zeros included."""
-    rows = printed(dense(freq, sequences), value)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    lines = rows.groupBy("file_id", "seq_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("values"))
-    names = sequences.select("file_id", "seq_id", "file_name", "seq_name")
+    rows = printed(dense(freq, directory), value).withColumn("stretch", F.shiftright("pos", STRETCH_BITS))
+
+    def joined(place: str, text: str):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, text))), lambda x: x[text]), " ")
+
+    parts = rows.groupBy("file_id", "seq_id", "stretch").agg(joined("pos", "text").alias("values"))
+    lines = parts.groupBy("file_id", "seq_id").agg(joined("stretch", "values").alias("values"))
+    names = directory.select("file_id", "seq_id", "file_name", "seq_name")
     return lines.join(names, ["file_id", "seq_id"]).select("file_id", "file_name", "seq_id", F.lit(0).cast("long").alias("start"), F.concat(F.lit(">"), "seq_name", F.lit("\n"), "values").alias("line"))
 
 
-def raw(freq: DataFrame, sequences: DataFrame, value: str = "mappability", stretch: int = 1 << 20) -> DataFrame:
+def raw(freq: DataFrame, directory: DataFrame, value: str = "mappability", stretch: int = 1 << 20) -> DataFrame:
     """(file_id, file_name, seq_id, start, payload): little-endian values of stretches of positions."""
     kind = RAW[value][1]
-    rows = dense(freq, sequences).select("file_id", "seq_id", (F.col("pos") - F.col("pos") % stretch).alias("start"), "pos", saturated(F.col("freq"), value).alias("freq"))
+    rows = dense(freq, directory).select("file_id", "seq_id", (F.col("pos") - F.col("pos") % stretch).alias("start"), "pos", saturated(F.col("freq"), value).alias("freq"))
 
     def payload(batches):
         for table in _whole(batches):
@@ -88,7 +93,7 @@ def raw(freq: DataFrame, sequences: DataFrame, value: str = "mappability", stret
     dealt = rows.repartition("file_id", "seq_id", "start").sortWithinPartitions("file_id", "seq_id", "start", "pos")
     file_kind, seq_kind = (rows.schema[c].dataType.simpleString() for c in ("file_id", "seq_id"))
     made = dealt.mapInArrow(payload, f"file_id {file_kind}, seq_id {seq_kind}, start long, payload binary")
-    return made.join(sequences.select("file_id", "seq_id", "file_name"), ["file_id", "seq_id"]).select("file_id", "file_name", "seq_id", "start", "payload")
+    return made.join(directory.select("file_id", "seq_id", "file_name"), ["file_id", "seq_id"]).select("file_id", "file_name", "seq_id", "start", "payload")
 
 
 def _turns(table: pa.Table) -> np.ndarray:
@@ -116,28 +121,39 @@ def _whole(batches):
         yield held
 
 
-def output_name(file_name: str, extension: str) -> str:
+def output_name(file_name: str, extension: str, prefix: str | None = None) -> str:
     stem, dot, _ = file_name.rpartition(".")
-    return f"{stem if dot else file_name}.kmers.{extension}"
-
-
-def write_lines(lines: DataFrame, path: str, extension: str, header: dict[str, str] | None = None) -> None:
+    return f"{(stem if dot else file_name) if prefix is None else prefix}.kmers.{extension}"
+
+
+def _outputs(rows: DataFrame, path: str, extension: str, prefix: str | None, kind: str, columns: list[str]) -> None:
+    """One write for all files: rows are dealt by (file, sequence, start), so that an output's part files in name order hold
+    them in order; the folders, one per file, then get their names."""
+    spark = rows.sparkSession
+    names = rows.select("file_id", "file_name").distinct().collect()  # as many outputs as input files
+    held = f"{path}/.{extension}"
+    order = ["file_id", "seq_id", "start"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns, "file_id").write.partitionBy("file_id").format(kind).save(held)
+    system, top = file_system(spark, held)
+    for row in names:
+        to = f"{path}/{output_name(row.file_name, extension, prefix)}"
+        if system.exists(spark._jvm.org.apache.hadoop.fs.Path(to)):
+            raise FileExistsError(to)
+        system.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{held}/file_id={row.file_id}"), spark._jvm.org.apache.hadoop.fs.Path(to))
+    system.delete(top, True)
+
+
+def write_lines(lines: DataFrame, path: str, extension: str, header: str | None = None, prefix: str | None = None) -> None:
     """One folder of text per input file, named after it; its part files in name order hold the lines in order."""
-    spark = lines.sparkSession
-    files = lines.select("file_id", "file_name").distinct().collect()
-    for row in files:  # as many outputs as input files
-        own = lines.filter(F.col("file_id") == row.file_id)
-        text = own.repartitionByRange("seq_id", "start").sortWithinPartitions("seq_id", "start").select("line")
-        if header and row.file_name in header:
-            text = spark.createDataFrame([(header[row.file_name],)], "line string").coalesce(1).unionAll(text)
-        text.write.text(f"{path}/{output_name(row.file_name, extension)}")
+    if header is not None:
+        first = lines.select("file_id", "file_name").distinct().select("file_id", "file_name", F.lit(-1).cast("long").alias("seq_id"), F.lit(-1).cast("long").alias("start"), F.lit(header).alias("line"))
+        lines = lines.select("file_id", "file_name", "seq_id", "start", "line").unionAll(first)
+    _outputs(lines, path, extension, prefix, "text", ["line"])
 
 
-def write_raw(payloads: DataFrame, path: str, value: str) -> None:
+def write_raw(payloads: DataFrame, path: str, value: str, prefix: str | None = None) -> None:
     """Parquet of payloads in order, one folder per input file; raw_bytes() joins them."""
-    for row in payloads.select("file_id", "file_name").distinct().collect():
-        own = payloads.filter(F.col("file_id") == row.file_id)
-        own.repartitionByRange("seq_id", "start").sortWithinPartitions("seq_id", "start").select("seq_id", "start", "payload").write.parquet(f"{path}/{output_name(row.file_name, RAW[value][0])}")
+    _outputs(payloads, path, RAW[value][0], prefix, "parquet", ["seq_id", "start", "payload"])
 
 
 def raw_bytes(spark: SparkSession, path: str):

@@ -1,7 +1,8 @@
-"""Windows of sequences: chunks, k-mers with multiplicities, postings, statistics.
+"""Windows of sequences: k-mers with multiplicities, postings, statistics.
 
-A table of sequences has file_id, file_name, seq_id, seq_name, seq_len, seq. Long sequences are cut into chunks that
-overlap by k - 1 bases before windows are made, so no task holds the windows of a chromosome.
+Operators take a corpus: its ``directory`` (names and lengths), its ``chunks`` (bases with an overlap), and ``reaching(k)``,
+the chunks that have enough bases for windows of k. A window belongs to the chunk whose span it starts in, so each is made
+once, and none spans two sequences.
 """
 
 from __future__ import annotations
@@ -10,62 +11,107 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import n_count, revcomp
+from ..sources.stored import once
 
-#: Windows of a chunk. A substring costs as much as the string before it, so chunks are short.
-CHUNK = 96
 
-
-def chunks(sequences: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
-    """Rows of at most size + k - 1 bases; the windows that start at chunk_start .. chunk_start + size - 1 are theirs."""
-    starts = F.sequence(F.lit(0).cast("long"), F.col("seq_len") - k, F.lit(size).cast("long"))
-    own = sequences.filter(F.col("seq_len") >= k).select("file_id", "seq_id", "seq", F.explode(starts).alias("chunk_start"))
-    return own.select("file_id", "seq_id", "chunk_start", F.substring("seq", (F.col("chunk_start") + 1).cast("int"), F.lit(size + k - 1)).alias("bases"))
-
-
-def windows(sequences: DataFrame, k: int, size: int = CHUNK, other_strand: bool = False) -> DataFrame:
-    """(file_id, seq_id, pos, kmer): one row per window; none spans two sequences. ``other_strand`` adds rc, the reverse
-    complement, which is cut from the chunk's."""
+def check_k(k: int) -> None:
     if k < 1:
         raise ValueError("k must be at least 1")
-    offsets = F.sequence(F.lit(0), F.least(F.lit(size - 1), F.length("bases") - k))
-    cut = chunks(sequences, k, size)
-    if other_strand:  # a step of its own, so that it is done once per chunk
-        cut = cut.withColumn("other", revcomp(F.col("bases")))
-    each = cut.select("*", F.explode(offsets).alias("o"))
-    kmer = F.substring("bases", F.col("o") + 1, F.lit(k)).alias("kmer")
-    rc = [F.substring("other", F.length("other") - F.col("o") - k + 1, F.lit(k)).alias("rc")] if other_strand else []
+
+
+def from_chunks(chunks: DataFrame, k: int, span: int, other_strand: bool = False) -> DataFrame:
+    """(file_id, seq_id, pos, kmer): one row per window. ``other_strand`` adds rc, the reverse complement, which is cut from
+    the chunk's. Bases are bytes, so a window costs its length wherever in the chunk it lies."""
+    own = chunks.filter(F.length("bases") >= k)
+    if other_strand:
+        own = once(own, "other", revcomp(F.col("bases")).cast("binary"))
+    last = F.least(F.lit(span - 1), F.length("bases") - k)
+    each = own.select("*", F.col("bases").cast("binary").alias("raw"), F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    kmer = F.substring("raw", F.col("o") + 1, F.lit(k)).cast("string").alias("kmer")
+    rc = [F.substring("other", F.length("other") - F.col("o") - k + 1, F.lit(k)).cast("string").alias("rc")] if other_strand else []
     return each.select("file_id", "seq_id", (F.col("chunk_start") + F.col("o")).alias("pos"), kmer, *rc)
 
 
-def positions(sequences: DataFrame) -> DataFrame:
-    """(file_id, seq_id, pos) of every base."""
-    return sequences.select("file_id", "seq_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seq_len") - 1)).alias("pos"))
+def windows(corpus, k: int, other_strand: bool = False) -> DataFrame:
+    check_k(k)
+    return from_chunks(corpus.reaching(k), k, corpus.span, other_strand)
+
+
+def asking(corpus, k: int, selection: DataFrame | None, other_strand: bool = False) -> DataFrame:
+    """The windows that ask: all, or those that start in an interval. Chunks without an interval are left out before any
+    window is made."""
+    check_k(k)
+    if selection is None:
+        return windows(corpus, k, other_strand)
+    named = corpus.directory.select("file_id", "seq_id", "seq_name").join(selection.filter("end > begin"), "seq_name")
+    first, last = F.floor(F.col("begin") / corpus.span), F.floor((F.col("end") - 1) / corpus.span)
+    wanted = named.select("file_id", "seq_id", F.explode(F.sequence(first, last)).alias("c")).select("file_id", "seq_id", (F.col("c") * corpus.span).alias("chunk_start")).distinct()
+    chunks = corpus.reaching(k).join(wanted, ["file_id", "seq_id", "chunk_start"], "left_semi")
+    return in_intervals(from_chunks(chunks, k, corpus.span, other_strand), corpus.directory, selection)
+
+
+def total(directory: DataFrame, k: int) -> int:
+    """The number of windows."""
+    return directory.agg(F.coalesce(F.sum(F.greatest(F.col("seq_len") - k + 1, F.lit(0))), F.lit(0))).first()[0]
+
+
+def positions(directory: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """(file_id, seq_id, pos) of every base; a sequence is dealt in stretches."""
+    parts = directory.filter("seq_len > 0").select("file_id", "seq_id", "seq_len", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seq_len") - 1, F.lit(stretch).cast("long"))).alias("first"))
+    dealt = parts.repartition("file_id", "seq_id", "first")
+    return dealt.select("file_id", "seq_id", F.explode(F.sequence("first", F.least(F.col("first") + stretch, "seq_len") - 1)).alias("pos"))
 
 
 def kmers(wins: DataFrame, errors: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct k-mers with at most ``errors`` Ns and how often each occurs (by file, if asked)."""
-    return wins.filter(n_count(F.col("kmer")) <= errors).groupBy("kmer", *by).agg(F.count("*").alias("cnt"))
+    few = n_count(F.col("kmer")) <= errors if errors else ~F.contains("kmer", F.lit("N"))
+    return wins.filter(few).groupBy("kmer", *by).agg(F.count("*").alias("cnt"))
 
 
 def postings(wins: DataFrame) -> DataFrame:
     return wins.select("kmer", F.col("file_id").alias("hit_file_id"), F.col("seq_id").alias("hit_seq_id"), F.col("pos").alias("hit_pos"))
 
 
-def statistics(sequences: DataFrame) -> DataFrame:
+def statistics(corpus) -> DataFrame:
     """Number of sequences, longest, total length with one sentinel each, and whether an N occurs."""
-    return sequences.agg(F.count("*").alias("n_seq"), F.max("seq_len").alias("max_len"), (F.sum("seq_len") + F.count("*")).alias("total_len"), F.max(F.instr("seq", "N") > 0).alias("has_n"))
+    own = corpus.directory.agg(F.count("*").alias("n_seq"), F.max("seq_len").alias("max_len"), (F.sum("seq_len") + F.count("*")).alias("total_len"))
+    return own.join(F.broadcast(corpus.chunks.agg(F.max(F.contains("bases", F.lit("N"))).alias("has_n"))))  # two single rows
 
 
-def directory(sequences: DataFrame) -> DataFrame:
-    """The sequences without their bases, with cumulative lengths within the file."""
+def cumulative(directory: DataFrame) -> DataFrame:
+    """The directory with cumulative lengths within the file."""
     before = Window.partitionBy("file_id").orderBy("seq_id").rowsBetween(Window.unboundedPreceding, -1)
-    return sequences.select("file_id", "file_name", "seq_id", "seq_name", "seq_len", F.coalesce(F.sum("seq_len").over(before), F.lit(0).cast("long")).alias("before"))
+    return directory.select("file_id", "file_name", "seq_id", "seq_name", "seq_len", F.coalesce(F.sum("seq_len").over(before), F.lit(0).cast("long")).alias("before"))
+
+
+def per_file(directory: DataFrame) -> DataFrame:
+    """(file_id, file_name, n_seq, total_len)."""
+    return directory.groupBy("file_id", "file_name").agg(F.count("*").alias("n_seq"), F.sum("seq_len").alias("total_len"))
+
+
+def selected_fraction(directory: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(file_id, file_name, fraction): selected bases of each file that has any, to all its bases; overlaps count twice."""
+    chosen = directory.join(intervals, "seq_name").groupBy("file_id").agg(F.sum(F.col("end") - F.col("begin")).alias("chosen"))
+    return per_file(directory).join(chosen, "file_id").select("file_id", "file_name", (F.col("chosen") / F.col("total_len")).alias("fraction"))
+
+
+def out_of_range(directory: DataFrame, selection: DataFrame) -> DataFrame:
+    """The intervals that lie outside a sequence of their name, or end before they begin, with its length."""
+    outside = (F.col("begin") < 0) | (F.col("end") < F.col("begin")) | (F.col("begin") >= F.col("seq_len")) | (F.col("end") > F.col("seq_len"))
+    return directory.select("seq_name", "seq_len").join(selection, "seq_name").filter(outside)
+
+
+def validate(directory: DataFrame, selection: DataFrame | None) -> None:
+    """Raises ValueError for an interval that is out of range. Unknown names are ignored."""
+    bad = out_of_range(directory, selection).limit(1).collect() if selection is not None else []
+    if bad:
+        raise ValueError(f"interval {bad[0].begin}-{bad[0].end} is out of range for {bad[0].seq_name} of length {bad[0].seq_len}")
 
 
-def in_intervals(rows: DataFrame, sequences: DataFrame, intervals: DataFrame, pos: str = "pos", bin_bits: int = 12) -> DataFrame:
+def in_intervals(rows: DataFrame, directory: DataFrame, intervals: DataFrame, pos: str = "pos", bin_bits: int = 12) -> DataFrame:
     """The rows whose position lies in an interval of their sequence's name (half-open). Intervals meet positions in bins,
     so long lists of intervals join by equality instead of by comparison with all."""
-    named = sequences.select("file_id", "seq_id", "seq_name").join(intervals, "seq_name")
+    named = directory.select("file_id", "seq_id", "seq_name").join(intervals.filter("end > begin"), "seq_name")
     low, high = F.shiftright(F.col("begin"), bin_bits), F.shiftright(F.col("end") - 1, bin_bits)
     binned = named.select("file_id", "seq_id", "begin", "end", F.explode(F.sequence(low, high)).alias("bin"))
     a, b = rows.alias("a"), binned.alias("b")

@@ -1,9 +1,10 @@
 """Queries of the library on the driver's tables, and their SQL equivalents for DuckDB.
 
 The tables hold no nucleotides, so texts are mapped to them by a rule that both dialects can express: letters and digits
-and `.,` stay, the rest goes; letters become A, C, G, T in turn, digits and punctuation N. Exact queries run on the whole
-of documents (source is the file, doc_id the sequence). Queries with errors run on the whole of benchmark, where DuckDB
-can compare every k-mer with every other one.
+and `.,` stay, the rest goes; letters become A, C, G, T in turn, digits and punctuation N. Queries run on the whole of
+documents (source is the file, doc_id the sequence); those with errors whose SQL compares every k-mer with every other one
+run on the whole of benchmark, and on documents with a seed join in SQL. Corpora are cut and saved once per session and
+table, in the shared folder, and queries read them from there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from ..operators import frequency as fr
 from ..operators import locate as lo
 from ..operators import sinks, windows
 from ..operators.runs import runs
+from ..sources import fasta
 from ..sources.corpus import Corpus
+from ..sources.place import file_system, new_path
+from ..sources.stored import once
 
 FROM = "abcdefghijklmnopqrstuvwxyz0123456789.,"
 TO = "ACGT" * 6 + "AC" + "N" * 12
@@ -38,21 +42,38 @@ def spread_out(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+_SAVED: dict[tuple[str, str, str], Corpus] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, table: str, build: Callable[[], Corpus]) -> Corpus:
+    """The table's corpus, built and saved when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _SAVED:
+        _SAVED[key] = build().save(new_path(spark, f"corpus-{table}"))
+    return _SAVED[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> Corpus:
-    rows = spread_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return Corpus.from_table(rows.select("source", "doc_id", dna(F.col("text")).alias("dna")), "source", "dna", "doc_id")
+    def build():
+        rows = spread_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+        return Corpus.from_table(once(rows, "dna", dna(F.col("text"))), "source", "dna", "doc_id")
+
+    return saved(spark, sf_dir, "documents", build)
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> Corpus:
     """Items in four files; a name is the item's number, so intervals apply by name."""
-    rows = spread_out(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    file = F.concat(F.lit("file"), (F.col("item_id") % 4).cast("string"))
-    return Corpus.from_table(rows.select(file.alias("file"), "item_id", dna(F.col("text")).alias("dna")), "file", "dna", "item_id")
+    def build():
+        rows = spread_out(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        file = F.concat(F.lit("file"), (F.col("item_id") % 4).cast("string"))
+        return Corpus.from_table(once(rows.select(file.alias("file"), "item_id", "text"), "dna", dna(F.col("text"))), "file", "dna", "item_id")
+
+    return saved(spark, sf_dir, "benchmark", build)
 
 
 def intervals(corpus: Corpus) -> DataFrame:
     begin = F.col("seq_id") % 17
-    return corpus.sequences.filter(F.col("seq_len") >= 60).select("seq_name", begin.alias("begin"), (begin + 40).alias("end"))
+    return corpus.directory.filter(F.col("seq_len") >= 60).select("seq_name", begin.alias("begin"), (begin + 40).alias("end"))
 
 
 MAPPED = f"translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.,]', '', 'g')), '{FROM}', '{TO}')"
@@ -117,22 +138,22 @@ r AS (SELECT file_id, seq_id, min(pos) AS start, max(pos) + 1 AS stop, value FRO
 # --- windows, k-mers, corpus ------------------------------------------------------------------------------------------
 @query("kmer_windows", f"WITH {DOCS}, {wins_sql(K)} SELECT file_id, seq_id, count(*) AS n, count(DISTINCT kmer) AS different FROM wins GROUP BY ALL")
 def _(spark, sf_dir):
-    return windows.windows(documents(spark, sf_dir).sequences, K).groupBy("file_id", "seq_id").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("different"))
+    return windows.windows(documents(spark, sf_dir), K).groupBy("file_id", "seq_id").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("different"))
 
 
 @query("kmer_count", f"WITH {DOCS}, {wins_sql(8)} SELECT kmer, count(*) AS cnt FROM wins WHERE NOT contains(kmer, 'N') GROUP BY kmer")
 def _(spark, sf_dir):
-    return windows.kmers(windows.windows(documents(spark, sf_dir).sequences, 8))
+    return windows.kmers(windows.windows(documents(spark, sf_dir), 8))
 
 
 @query("kmer_count_by_file", f"WITH {DOCS}, {wins_sql(6)} SELECT kmer, file_id, count(*) AS cnt FROM wins WHERE length(replace(kmer, 'N', '')) >= 5 GROUP BY ALL")
 def _(spark, sf_dir):
-    return windows.kmers(windows.windows(documents(spark, sf_dir).sequences, 6), errors=1, by=("file_id",))
+    return windows.kmers(windows.windows(documents(spark, sf_dir), 6), errors=1, by=("file_id",))
 
 
 @query("postings", f"WITH {ITEMS}, {wins_sql(12)} SELECT kmer, file_id AS hit_file_id, seq_id AS hit_seq_id, pos AS hit_pos FROM wins")
 def _(spark, sf_dir):
-    return windows.postings(windows.windows(benchmark(spark, sf_dir).sequences, 12))
+    return windows.postings(windows.windows(benchmark(spark, sf_dir), 12))
 
 
 @query("normalise_alphabet", "SELECT doc_id, md5(regexp_replace(translate(text, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g')) AS digest FROM documents")
@@ -142,7 +163,8 @@ def _(spark, sf_dir):
 
 @query("revcomp", f"WITH {DOCS} SELECT seq_id, md5({RC.format('seq')}) AS digest FROM seqs")
 def _(spark, sf_dir):
-    return documents(spark, sf_dir).sequences.select("seq_id", F.md5(revcomp(F.col("seq"))).alias("digest"))
+    rows = spread_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return once(rows, "seq", dna(F.col("text"))).filter("seq != ''").select(F.col("doc_id").alias("seq_id"), F.md5(revcomp(F.col("seq"))).alias("digest"))
 
 
 @query("corpus_stats", f"WITH {DOCS} SELECT count(*) AS n_seq, max(seq_len) AS max_len, (sum(seq_len) + count(*))::BIGINT AS total_len, bool_or(contains(seq, 'N')) AS has_n FROM seqs")
@@ -152,12 +174,12 @@ def _(spark, sf_dir):
 
 @query("cumulative_lengths", f"WITH {DOCS} SELECT file_id, file_name, seq_id, seq_id::VARCHAR AS seq_name, seq_len, (sum(seq_len) OVER (PARTITION BY file_id ORDER BY seq_id) - seq_len)::BIGINT AS before FROM seqs")
 def _(spark, sf_dir):
-    return documents(spark, sf_dir).directory()
+    return documents(spark, sf_dir).cumulative()
 
 
 @query("chrom_sizes", f"WITH {DOCS} SELECT file_id, file_name, seq_id, seq_id || chr(9) || seq_len AS line FROM seqs")
 def _(spark, sf_dir):
-    return sinks.chrom_sizes(documents(spark, sf_dir).sequences).drop("start")
+    return sinks.chrom_sizes(documents(spark, sf_dir).directory).drop("start")
 
 
 # --- frequency without errors -------------------------------------------------------------------------------------------
@@ -173,9 +195,8 @@ def _(spark, sf_dir):
 
 @query("freq_e0_palindromes", freq_sql(DOCS, 4) + "SELECT kmer, freq FROM c")
 def _(spark, sf_dir):
-    seqs = documents(spark, sf_dir).sequences
-    wins = windows.windows(seqs, 4)
-    return wins.join(fr.frequency(seqs, 4), ["file_id", "seq_id", "pos"]).groupBy("kmer").agg(F.max("freq").alias("freq"))
+    corpus = documents(spark, sf_dir)
+    return windows.windows(corpus, 4).join(corpus.frequency(4), ["file_id", "seq_id", "pos"]).groupBy("kmer").agg(F.max("freq").alias("freq"))
 
 
 @query("freq_k101", freq_sql(DOCS, 101) + PER_SEQ)
@@ -215,9 +236,9 @@ def _(spark, sf_dir):
 
 @query("shared_by_all_files", f"WITH {DOCS}, {wins_sql(16)} SELECT least(kmer, {RC.format('kmer')}) AS marker, count(*) AS n FROM wins WHERE NOT contains(kmer, 'N') GROUP BY 1 HAVING count(DISTINCT file_id) = (SELECT count(DISTINCT file_id) FROM seqs)")
 def _(spark, sf_dir):
-    seqs = documents(spark, sf_dir).sequences
-    files = seqs.select("file_id").distinct().count()
-    wins = windows.windows(seqs, 16).filter(~F.contains("kmer", F.lit("N")))
+    corpus = documents(spark, sf_dir)
+    files = corpus.directory.select("file_id").distinct().count()
+    wins = windows.windows(corpus, 16).filter(~F.contains("kmer", F.lit("N")))
     found = wins.groupBy(canonical(F.col("kmer")).alias("marker")).agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("files"))
     return found.filter(F.col("files") == files).select("marker", "n")
 
@@ -291,7 +312,7 @@ CELL = "coalesce(string_agg(hit_seq_id || ',' || hit_pos, '|' ORDER BY hit_seq_i
 @query("csv_rows", located_sql(1) + "SELECT file_id, seq_id, pos, seq_id || ',' || pos || ';' || " + " || ';' || ".join(CELL.format(s, i) for s in "+-" for i in range(4)) + " AS line FROM l GROUP BY file_id, seq_id, pos")
 def _(spark, sf_dir):
     corpus = benchmark(spark, sf_dir)
-    return lo.csv_rows(corpus.locate(12, 1), corpus.sequences)
+    return lo.csv_rows(corpus.locate(12, 1), corpus.directory)
 
 
 # --- runs and encodings ----------------------------------------------------------------------------------------------------
@@ -307,13 +328,13 @@ NAMED = "FROM r JOIN (SELECT file_id, file_name, seq_id FROM seqs) s USING (file
 @query("bedgraph_lines", freq_sql(DOCS, K) + runs_sql("least(freq, 65535)") + f"SELECT file_id, file_name, seq_id, start, seq_id || chr(9) || start || chr(9) || stop || chr(9) || {MAP_TEXT} AS line {NAMED}")
 def _(spark, sf_dir):
     corpus = documents(spark, sf_dir)
-    return sinks.bedgraph(corpus.frequency(K), corpus.sequences)
+    return sinks.bedgraph(corpus.frequency(K), corpus.directory)
 
 
 @query("bed_lines", freq_sql(ITEMS, 12) + runs_sql("least(freq, 255)") + f"SELECT file_id, file_name, seq_id, start, seq_id || chr(9) || start || chr(9) || stop || chr(9) || '-' || chr(9) || value AS line {NAMED}")
 def _(spark, sf_dir):
     corpus = benchmark(spark, sf_dir)
-    return sinks.bed(corpus.frequency(12), corpus.sequences, "freq8")
+    return sinks.bed(corpus.frequency(12), corpus.directory, "freq8")
 
 
 WIG = """SELECT file_id, file_name, seq_id, start, CASE WHEN before IS DISTINCT FROM span THEN 'variableStep chrom=' || seq_id || ' span=' || span || chr(10) ELSE '' END || (start + 1) || ' ' || value AS line
@@ -323,7 +344,7 @@ FROM (SELECT *, stop - start AS span, lag(stop - start) OVER (PARTITION BY file_
 @query("wig_lines", freq_sql(DOCS, K) + runs_sql("least(freq, 65535)") + WIG)
 def _(spark, sf_dir):
     corpus = documents(spark, sf_dir)
-    return sinks.wig(corpus.frequency(K), corpus.sequences, "freq16")
+    return sinks.wig(corpus.frequency(K), corpus.directory, "freq16")
 
 
 TXT = f"""SELECT file_id, any_value(file_name) AS file_name, seq_id, '>' || seq_id || chr(10) || string_agg(CASE WHEN value IS NULL THEN '0' ELSE {MAP_TEXT} END, ' ' ORDER BY pos) AS line
@@ -333,10 +354,188 @@ FROM (SELECT file_id, file_name, seq_id, unnest(range(0, seq_len)) AS pos FROM s
 @query("txt_lines", freq_sql(DOCS, K) + TXT)
 def _(spark, sf_dir):
     corpus = documents(spark, sf_dir)
-    return sinks.txt(corpus.frequency(K), corpus.sequences).drop("start")
+    return sinks.txt(corpus.frequency(K), corpus.directory).drop("start")
+
+
+RAW = """SELECT file_id, any_value(file_name) AS file_name, seq_id, 0::BIGINT AS start, string_agg(printf('%02X', least(coalesce(freq, 0), 255)), '' ORDER BY pos) AS payload
+FROM (SELECT file_id, file_name, seq_id, unnest(range(0, seq_len)) AS pos FROM seqs) p LEFT JOIN f USING (file_id, seq_id, pos) GROUP BY file_id, seq_id"""
+
+
+@query("raw_payloads", freq_sql(DOCS, K) + RAW)
+def _(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return sinks.raw(corpus.frequency(K), corpus.directory, "freq8").withColumn("payload", F.hex("payload"))
+
+
+# --- errors on documents ----------------------------------------------------------------------------------------------------
+def seed_sql(corpus: str, k: int, errors: int) -> str:
+    """f as in freq_sql, for both strands, by a join on each of errors + 1 blocks instead of a comparison of all."""
+    size = k // (errors + 1)
+    cut = [(i * size, size if i < errors else k - errors * size) for i in range(errors + 1)]
+    parts = " UNION ".join(f"SELECT q.kmer, q.strand, t.kmer AS hit, t.cnt FROM q JOIN d t ON substr(q.q, {o + 1}, {n}) = substr(t.kmer, {o + 1}, {n}) WHERE hamming(replace(q.q, 'N', 'n'), t.kmer) <= {errors}" for o, n in cut)
+    few = f"length(replace(kmer, 'N', '')) >= {k - errors}"
+    return f"""WITH {corpus}, {wins_sql(k)}, d AS (SELECT kmer, count(*) AS cnt FROM wins WHERE {few} GROUP BY kmer),
+q AS (SELECT kmer, '+' AS strand, kmer AS q FROM d UNION ALL SELECT kmer, '-', {RC.format('kmer')} FROM d),
+m AS ({parts}), c AS (SELECT kmer, sum(cnt)::BIGINT AS freq FROM m GROUP BY kmer), f AS (SELECT file_id, seq_id, pos, freq FROM wins JOIN c USING (kmer))
+"""
+
+
+for _errors, _k in ((1, 32), (2, 48), (3, 72), (4, 100)):
+    def _run(spark, sf_dir, k=_k, errors=_errors):
+        return per_sequence(documents(spark, sf_dir).frequency(k, errors))
+
+    query(f"freq_e{_errors}_documents", seed_sql(DOCS, _k, _errors) + PER_SEQ)(_run)
+
+
+# --- files: written, and read again ---------------------------------------------------------------------------------------------
+def _named_files(rows: DataFrame, path: str, extension: str) -> None:
+    """Rows of (file, at, value) as files <path>/<file>.<extension>, in the order of at."""
+    spark = rows.sparkSession
+    rows.repartition("file").sortWithinPartitions("file", "at").select("value", "file").write.partitionBy("file").text(f"{path}.made")
+    system, top = file_system(spark, f"{path}.made")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    system.mkdirs(jvm.Path(path))
+    for folder in system.listStatus(top):
+        if folder.isDirectory():
+            name = folder.getPath().getName().partition("=")[2]
+            part = next(p for p in system.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-"))
+            system.rename(part.getPath(), jvm.Path(f"{path}/{name}.{extension}"))
+    system.delete(top, True)
+
+
+def _whole(corpus: Corpus) -> DataFrame:
+    """The directory with a digest of each sequence."""
+    own = F.array_sort(F.collect_list(F.struct("chunk_start", F.substring("bases", 1, corpus.span).alias("b"))))
+    joined = corpus.chunks.groupBy("file_id", "seq_id").agg(F.md5(F.array_join(F.transform(own, lambda x: x["b"]), "")).alias("digest"))
+    return corpus.directory.join(joined, ["file_id", "seq_id"])
+
+
+FILES = f"""rows_ AS (SELECT 'part' || (doc_id % 5) || '.fa' AS file_name, doc_id, {MAPPED} AS seq, CASE WHEN doc_id % 5 = 0 THEN 'same ' || doc_id WHEN doc_id % 5 = 1 THEN 'd' || doc_id ELSE 'd' || doc_id END AS seq_name FROM documents)"""
+
+
+@query("fasta_directory", f"""WITH {FILES} SELECT dense_rank() OVER (ORDER BY file_name) - 1 AS file_id, file_name, row_number() OVER (PARTITION BY file_name ORDER BY doc_id) - 1 AS seq_id,
+  seq_name, length(seq) AS seq_len, md5(seq) AS digest FROM rows_ WHERE seq != ''""")
+def _(spark, sf_dir):
+    """Files of documents, below a folder, with empty sequences, an empty file, a file that is none, lines of 60 bases, and
+    names that are unique only as a whole (part0) or by their first word."""
+    rows = spread_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("same "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" of the corpus")))
+    body = F.regexp_replace(F.col("dna"), "(.{60})", "$1\n")
+    made = once(rows, "dna", dna(F.col("text"))).select(F.concat(F.lit("part"), (F.col("doc_id") % 5).cast("string")).alias("file"), F.col("doc_id").alias("at"), F.concat(F.lit(">"), name, F.lit("\n"), body).alias("value"))
+    path = new_path(spark, "fasta")
+    _named_files(made, f"{path}/below", "fa")
+    none = spark.createDataFrame([("none", 0, ">nothing")], "file string, at long, value string")
+    _named_files(none, f"{path}/empty", "fasta")
+    _named_files(none, f"{path}/other", "txt")
+    return _whole(Corpus.from_directory(spark, path))
+
+
+@query("fastq_file", f"SELECT 0 AS file_id, 'reads.fastq' AS file_name, row_number() OVER (ORDER BY item_id) - 1 AS seq_id, 'r' || item_id AS seq_name, length(seq) AS seq_len, md5(seq) AS digest FROM (SELECT item_id, {MAPPED} AS seq FROM benchmark) WHERE seq != ''")
+def _(spark, sf_dir):
+    """Records of four lines with blank lines between them, and qualities that begin with @."""
+    rows = spread_out(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    record = F.concat(F.lit("@r"), F.col("item_id").cast("string"), F.lit(" x\n"), "dna", F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("dna")), F.lit("\n"))
+    made = once(rows, "dna", dna(F.col("text"))).filter("dna != ''").select(F.lit("reads").alias("file"), F.col("item_id").alias("at"), record.alias("value"))
+    path = new_path(spark, "fastq")
+    _named_files(made, path, "fastq")
+    return _whole(Corpus.from_fasta(spark, f"{path}/reads.fastq"))
+
+
+@query("bed_selection", freq_sql(DOCS, K) + PER_POS + SELECTED)
+def _(spark, sf_dir):
+    """Intervals from a BED file with a comment, a track line and more columns."""
+    corpus = documents(spark, sf_dir)
+    rows = intervals(corpus).select(F.lit("s").alias("file"), F.monotonically_increasing_id().alias("at"), F.concat_ws("\t", "seq_name", F.col("begin").cast("string"), F.col("end").cast("string"), F.lit("x"), F.lit("0")).alias("value"))
+    head = spark.createDataFrame([("s", -2, "# intervals"), ("s", -1, "track name=x")], "file string, at long, value string")
+    path = new_path(spark, "bed")
+    _named_files(head.unionAll(rows), path, "bed")
+    return corpus.frequency(K, selection=fasta.read_bed(spark, f"{path}/s.bed"))
+
+
+@query("saved_corpus", f"WITH {DOCS} SELECT CASE WHEN bool_or(contains(seq, 'N')) THEN 'ACGTN' ELSE 'ACGT' END AS alphabet, true AS is_directory, count(*) AS n_seq, max(seq_len) AS max_len, (sum(seq_len) + count(*))::BIGINT AS total_len, 4096 AS span, 256 AS overlap FROM seqs")
+def _(spark, sf_dir):
+    """Saved, loaded, and asked for its meta row."""
+    path = new_path(spark, "saved")
+    documents(spark, sf_dir).save(path)
+    return Corpus.load(spark, path).meta()
+
+
+@query("saved_sequences", f"WITH {DOCS} SELECT file_id, file_name, seq_id, seq_id::VARCHAR AS seq_name, seq_len, md5(seq) AS digest FROM seqs")
+def _(spark, sf_dir):
+    path = new_path(spark, "saved")
+    documents(spark, sf_dir).save(path)
+    return _whole(Corpus.load(spark, path))
+
+
+@query("sequences_per_file", f"WITH {DOCS} SELECT file_id, file_name, count(*) AS n_seq, sum(seq_len)::BIGINT AS total_len FROM seqs GROUP BY ALL")
+def _(spark, sf_dir):
+    return documents(spark, sf_dir).per_file()
+
+
+@query("selected_fraction", f"WITH {DOCS} SELECT file_id, file_name, sum(CASE WHEN seq_len >= 60 THEN 40 ELSE 0 END) / sum(seq_len) AS fraction FROM seqs GROUP BY ALL HAVING max(seq_len) >= 60")
+def _(spark, sf_dir):
+    corpus = documents(spark, sf_dir)
+    return windows.selected_fraction(corpus.directory, intervals(corpus))
+
+
+@query("intervals_out_of_range", f"WITH {DOCS} SELECT seq_id::VARCHAR AS seq_name, seq_len, seq_id % 900 AS begin, seq_id % 1700 AS \"end\" FROM seqs WHERE seq_id % 1700 < seq_id % 900 OR seq_id % 900 >= seq_len OR seq_id % 1700 > seq_len")
+def _(spark, sf_dir):
+    directory = documents(spark, sf_dir).directory
+    return windows.out_of_range(directory, directory.select("seq_name", (F.col("seq_id") % 900).alias("begin"), (F.col("seq_id") % 1700).alias("end")))
+
+
+def _some_intervals(corpus: Corpus) -> DataFrame:
+    begin = F.col("seq_id") % 17
+    return corpus.directory.filter("file_id < 2 and seq_len >= 60").select("seq_name", begin.alias("begin"), (begin + 40).alias("end"))
+
+
+def _read_again(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    """(output, line) of all outputs of a format."""
+    rows = spark.read.text(f"{path}/*.kmers.{extension}")
+    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("output"), F.col("value").alias("line"))
+
+
+WRITTEN = "SELECT file_name || '.kmers.{0}' AS output, unnest(string_split(line, chr(10))) AS line FROM ({1})"
 
 
-@query("raw_payloads")
+def _written(name: str, extension: str, sql: str, k: int = 12, errors: int = 0, value: str = "freq16", selection: bool = False):
+    @query(name, sql)
+    def _(spark, sf_dir):
+        corpus, path = benchmark(spark, sf_dir), new_path(spark, "written")
+        formats = ("wig",) if extension == "chrom.sizes" else (extension,)
+        corpus.write(path, k, errors, value, formats, selection=_some_intervals(corpus) if selection else None)
+        return _read_again(spark, path, extension)
+
+
+RUN_LINES = "SELECT file_name, seq_id || chr(9) || start || chr(9) || stop || chr(9) || {}value AS line " + NAMED
+ONLY = ", f0 AS (SELECT f.* FROM f JOIN seqs s USING (file_id, seq_id) WHERE s.file_id < 2 AND s.seq_len >= 60 AND f.pos >= f.seq_id % 17 AND f.pos < f.seq_id % 17 + 40)\n"
+_written("written_bedgraph", "bedgraph", freq_sql(ITEMS, 12) + runs_sql("least(freq, 65535)") + WRITTEN.format("bedgraph", RUN_LINES.format("")))
+_written("written_bed", "bed", freq_sql(ITEMS, 12) + runs_sql("least(freq, 65535)") + WRITTEN.format("bed", RUN_LINES.format("'-' || chr(9) || ")))
+_written("written_wig", "wig", freq_sql(ITEMS, 12) + runs_sql("least(freq, 65535)") + WRITTEN.format("wig", WIG))
+_written("written_chrom_sizes", "chrom.sizes", f"WITH {ITEMS} " + WRITTEN.format("chrom.sizes", "SELECT file_name, seq_id || chr(9) || seq_len AS line FROM seqs"))
+_written("written_txt_of_a_selection", "txt", freq_sql(ITEMS, 12) + ONLY.replace("f0 AS", "x AS") + WRITTEN.format("txt", TXT.replace("FROM f)", "FROM x)").replace("FROM seqs) p", "FROM seqs WHERE file_id < 2) p")), value="mappability", selection=True)
+_written("written_csv_of_a_selection", "csv", located_sql(1) + WRITTEN.format("csv", "SELECT DISTINCT file_name, '\"k-mer\"' || (SELECT string_agg(';\"' || s || ' strand ' || n || '\"', '' ORDER BY s, n) FROM (SELECT DISTINCT file_name AS n FROM seqs), (VALUES ('+'), ('-')) v(s)) AS line FROM seqs WHERE file_id < 2 UNION ALL SELECT file_name, line FROM (SELECT l.file_id, any_value(s.file_name) AS file_name, l.seq_id, l.pos, l.seq_id || ',' || l.pos || ';' || " + " || ';' || ".join(CELL.format(s, i) for s in "+-" for i in range(4)) + " AS line FROM l JOIN seqs s ON s.file_id = l.file_id AND s.seq_id = l.seq_id WHERE s.file_id < 2 AND s.seq_len >= 60 AND l.pos >= l.seq_id % 17 AND l.pos < l.seq_id % 17 + 40 GROUP BY l.file_id, l.seq_id, l.pos)"), errors=1, selection=True)
+
+
+@query("written_raw", freq_sql(ITEMS, 12) + RAW.replace("AS start, string_agg", "AS start_, string_agg").replace("SELECT file_id, any_value(file_name) AS file_name, seq_id, 0::BIGINT AS start_,", "SELECT any_value(file_name) || '.kmers.freq8' AS output, seq_id,"))
 def _(spark, sf_dir):
+    corpus, path = benchmark(spark, sf_dir), new_path(spark, "written")
+    corpus.write(path, 12, value="freq8", formats=("raw",))
+    rows = spark.read.parquet(f"{path}/*.kmers.freq8")
+    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("output"), "seq_id", F.hex("payload").alias("payload"))
+
+
+@query("arriving_sequences", freq_sql(DOCS, 12) + "SELECT w.file_id, w.seq_id, count(*) AS positions, sum(coalesce(f.freq, 0))::BIGINT AS total FROM wins w LEFT JOIN f USING (file_id, seq_id, pos) GROUP BY ALL")
+def _(spark, sf_dir):
+    """The corpus itself as a stream of chunks, against its own counts."""
+    from ..streaming.arrivals import arriving_frequency, canonical_counts
+
     corpus = documents(spark, sf_dir)
-    return sinks.raw(corpus.frequency(K), corpus.sequences)
+    counts, out = new_path(spark, "counts"), new_path(spark, "arrived")
+    canonical_counts(corpus, 12).write.parquet(counts)
+    source = new_path(spark, "arriving")
+    corpus.chunks.write.parquet(source)
+    stream = spark.readStream.schema(corpus.chunks.schema).parquet(source)
+    found = arriving_frequency(stream, spark.read.parquet(counts), 12)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "marks")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).groupBy("file_id", "seq_id").agg(F.count("*").alias("positions"), F.sum("freq").alias("total"))

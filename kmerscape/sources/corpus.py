@@ -10,79 +10,115 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import normalise
 from ..operators import frequency, locate, sinks, windows
 from . import fasta
+from .stored import CHUNKS, DIRECTORY, OVERLAP, SPAN, cut, once, reach
+
+FORMATS = ("raw", "txt", "wig", "bedgraph", "bed", "csv")
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Sequences in files; see fasta.SCHEMA. Build it once, save it as Parquet, ask often."""
+    """Sequences in files: a directory (stored.DIRECTORY) and chunks of bases (stored.CHUNKS). Build it once, save it as
+    Parquet, ask often."""
 
-    sequences: DataFrame
+    directory: DataFrame
+    chunks: DataFrame
+    span: int = SPAN
+    overlap: int = OVERLAP
+    is_directory: bool = True
 
     @classmethod
-    def from_fasta(cls, spark: SparkSession, path: str) -> Corpus:
-        return cls(fasta.read(spark, path))
+    def from_fasta(cls, spark: SparkSession, path: str, span: int = SPAN, overlap: int = OVERLAP) -> Corpus:
+        return cls(*fasta.read(spark, path, False, span, overlap), span, overlap, False)
 
     @classmethod
-    def from_directory(cls, spark: SparkSession, path: str) -> Corpus:
-        return cls(fasta.read(spark, path, directory=True))
+    def from_directory(cls, spark: SparkSession, path: str, span: int = SPAN, overlap: int = OVERLAP) -> Corpus:
+        return cls(*fasta.read(spark, path, True, span, overlap), span, overlap)
 
     @classmethod
-    def from_table(cls, rows: DataFrame, file_name: str, seq: str, seq_id: str, seq_name: str | None = None) -> Corpus:
-        """Any table with a text column; files are numbered by name."""
-        files = rows.select(F.col(file_name).alias("file_name")).distinct()
-        numbered = files.select("file_name", (F.dense_rank().over(Window.orderBy("file_name")) - 1).alias("file_id"))
-        clean = rows.select(F.col(file_name).alias("file_name"), F.col(seq_id).alias("seq_id"), F.col(seq_name or seq_id).cast("string").alias("seq_name"), normalise(F.coalesce(F.col(seq), F.lit(""))).alias("seq"))
-        return cls(clean.filter(F.length("seq") > 0).join(numbered, "file_name").select("file_id", "file_name", "seq_id", "seq_name", F.length("seq").cast("long").alias("seq_len"), "seq"))
-
-    def save(self, path: str) -> None:
-        """Fails where the path exists."""
-        self.sequences.write.partitionBy("file_id").mode("errorifexists").parquet(path)
+    def from_table(cls, rows: DataFrame, file_name: str, seq: str, seq_id: str, seq_name: str | None = None, span: int = SPAN, overlap: int = OVERLAP) -> Corpus:
+        """Any table with a text column; files are numbered by name, a null name counts as empty. seq_id is a number that is
+        unique within its file."""
+        named = rows.select(F.coalesce(F.col(file_name).cast("string"), F.lit("")).alias("file_name"), F.col(seq_id).cast("long").alias("seq_id"), F.col(seq_name or seq_id).cast("string").alias("seq_name"), F.coalesce(F.col(seq), F.lit("")).alias("given"))
+        clean = once(named, "seq", normalise(F.col("given"))).filter(F.length("seq") > 0)
+        # one row per file
+        numbered = clean.select("file_name").distinct().select("file_name", (F.dense_rank().over(Window.orderBy("file_name")) - 1).alias("file_id"))
+        listed = clean.select("file_name", "seq_id", "seq_name", F.length("seq").cast("long").alias("seq_len")).join(numbered, "file_name")
+        chunks = cut(clean, ["file_name", "seq_id"], "seq", span, overlap).join(numbered, "file_name")
+        return cls(listed.select("file_id", "file_name", "seq_id", "seq_name", "seq_len"), chunks.select("file_id", "seq_id", "seq_len", "chunk_start", "bases"), span, overlap)
+
+    def save(self, path: str) -> Corpus:
+        """Writes directory, chunks (by file) and meta; fails where they exist. Returns the saved corpus."""
+        self.directory.write.mode("errorifexists").parquet(f"{path}/directory")
+        self.chunks.write.partitionBy("file_id").mode("errorifexists").parquet(f"{path}/chunks")
+        spark = self.directory.sparkSession
+        saved = Corpus(*self._tables(spark, path), self.span, self.overlap, self.is_directory)
+        saved.meta().coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta")
+        return saved
+
+    @staticmethod
+    def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+        return spark.read.schema(DIRECTORY).parquet(f"{path}/directory"), spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
-        return cls(spark.read.schema(fasta.SCHEMA).parquet(path))
+        """A saved corpus. Keys of its meta row that an older one lacks have their defaults."""
+        meta = spark.read.parquet(f"{path}/meta")
+        row = {**{"span": SPAN, "overlap": OVERLAP, "is_directory": True}, **{k: v for k, v in meta.first().asDict().items() if v is not None}}
+        return cls(*cls._tables(spark, path), row["span"], row["overlap"], row["is_directory"])
+
+    def meta(self) -> DataFrame:
+        """One row: alphabet, is_directory, n_seq, max_len, total_len, span, overlap."""
+        return self.statistics().select(F.when(F.col("has_n"), "ACGTN").otherwise("ACGT").alias("alphabet"), F.lit(self.is_directory).alias("is_directory"), "n_seq", "max_len", "total_len", F.lit(self.span).alias("span"), F.lit(self.overlap).alias("overlap"))
+
+    def reaching(self, k: int) -> DataFrame:
+        """Chunks with enough bases for windows of k."""
+        return reach(self.chunks, k, self.span, self.overlap)
 
     def statistics(self) -> DataFrame:
-        return windows.statistics(self.sequences)
+        return windows.statistics(self)
+
+    def cumulative(self) -> DataFrame:
+        return windows.cumulative(self.directory)
 
-    def directory(self) -> DataFrame:
-        return windows.directory(self.sequences)
+    def per_file(self) -> DataFrame:
+        return windows.per_file(self.directory)
 
     def frequency(self, k: int, errors: int = 0, reverse_complement: bool = True, exclude_pseudo: bool = False, selection: DataFrame | None = None) -> DataFrame:
-        if selection is not None:
-            frequency.validate_selection(self.sequences, selection)
-        return frequency.frequency(self.sequences, k, errors, reverse_complement, exclude_pseudo, selection)
+        windows.validate(self.directory, selection)
+        return frequency.frequency(self, k, errors, reverse_complement, exclude_pseudo, selection)
 
     def mappability(self, k: int, errors: int = 0, value: str = "mappability", **options) -> DataFrame:
         """Dense: one row per base, with freq and value."""
         freq = self.frequency(k, errors, **options)
-        kept = self.sequences
-        if options.get("selection") is not None:
-            kept = kept.join(frequency.selected_files(kept, options["selection"]), ["file_id", "file_name"], "left_semi")
+        kept = frequency.selected(self.directory, options.get("selection"))
         return frequency.with_value(frequency.dense(freq, kept), value)
 
-    def locate(self, k: int, errors: int = 0, **options) -> DataFrame:
-        return locate.locate(self.sequences, k, errors, **options)
+    def locate(self, k: int, errors: int = 0, reverse_complement: bool = True, selection: DataFrame | None = None) -> DataFrame:
+        windows.validate(self.directory, selection)
+        return locate.locate(self, k, errors, reverse_complement, selection)
 
-    def write(self, path: str, k: int, errors: int = 0, value: str = "mappability", formats: tuple[str, ...] = ("bedgraph",), reverse_complement: bool = True, exclude_pseudo: bool = False, selection: DataFrame | None = None) -> None:
-        """Writes the outputs (raw, txt, wig, bedgraph, bed, csv) of each file; with a selection, of files that have one."""
+    def write(self, path: str, k: int, errors: int = 0, value: str = "mappability", formats: tuple[str, ...] = ("bedgraph",), reverse_complement: bool = True, exclude_pseudo: bool = False, selection: DataFrame | None = None, prefix: str | None = None) -> None:
+        """Writes the outputs (raw, txt, wig, bedgraph, bed, csv) of each file; with a selection, of files that have one. A
+        corpus of one file may be given a ``prefix`` instead of its file's name."""
         if not formats:
             raise ValueError("at least one output format is needed")
-        unknown = set(formats) - {"raw", "txt", "wig", "bedgraph", "bed", "csv"}
+        unknown = set(formats) - set(FORMATS)
         if unknown:
             raise ValueError(f"unknown format {', '.join(sorted(unknown))}")
+        if prefix is not None and self.is_directory:
+            raise ValueError("a prefix is for a corpus of one file")
         freq = self.frequency(k, errors, reverse_complement, exclude_pseudo, selection).persist()
-        kept = self.sequences.join(frequency.selected_files(self.sequences, selection), ["file_id", "file_name"], "left_semi")
+        kept = frequency.selected(self.directory, selection)
         for name in formats:
             if name == "raw":
-                sinks.write_raw(sinks.raw(freq, kept, value), path, value)
+                sinks.write_raw(sinks.raw(freq, kept, value), path, value, prefix)
             elif name == "csv":
-                found = locate.locate(self.sequences, k, errors, reverse_complement, selection)
-                lines = locate.csv_rows(found, self.sequences, reverse_complement).join(kept.select("file_id", "file_name").distinct(), "file_id").withColumn("start", F.col("pos"))
-                names = [r.file_name for r in self.sequences.select("file_name").distinct().orderBy("file_name").collect()]
-                sinks.write_lines(lines, path, "csv", {n: locate.csv_header(names, reverse_complement) for n in names})
+                found = self.locate(k, errors, reverse_complement, selection)
+                lines = locate.csv_rows(found, self.directory, reverse_complement).join(kept.select("file_id", "file_name").distinct(), "file_id").withColumn("start", F.col("pos"))
+                names = [r.file_name for r in self.directory.select("file_name").distinct().orderBy("file_name").collect()]
+                sinks.write_lines(lines, path, "csv", locate.csv_header(names, reverse_complement), prefix)
             else:
-                sinks.write_lines(getattr(sinks, name)(freq, kept, value), path, name)
+                sinks.write_lines(getattr(sinks, name)(freq, kept, value), path, name, None, prefix)
                 if name == "wig":
-                    sinks.write_lines(sinks.chrom_sizes(kept), path, "chrom.sizes")
+                    sinks.write_lines(sinks.chrom_sizes(kept), path, "chrom.sizes", None, prefix)
         freq.unpersist()

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import canonical, revcomp
-from ..operators.windows import windows
+from ..operators.windows import from_chunks, windows
+from ..sources.stored import SPAN
 
 
-def canonical_counts(sequences: DataFrame, k: int) -> DataFrame:
+def canonical_counts(corpus, k: int) -> DataFrame:
     """(key, freq): both-strand frequency of each k-mer of the corpus under its canonical form. Write it once."""
-    wins = windows(sequences, k).filter(~F.contains("kmer", F.lit("N")))
+    wins = windows(corpus, k).filter(~F.contains("kmer", F.lit("N")))
     counted = wins.groupBy(canonical(F.col("kmer")).alias("key")).agg(F.count("*").alias("n"))
     return counted.select("key", F.when(F.col("key") == revcomp(F.col("key")), 2 * F.col("n")).otherwise(F.col("n")).alias("freq"))
 
 
-def arriving_frequency(arrivals: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(file_id, seq_id, pos, freq) of the windows of a stream of sequences: how often the corpus has them. A stateless
+def arriving_frequency(arrivals: DataFrame, counts: DataFrame, k: int, span: int = SPAN) -> DataFrame:
+    """(file_id, seq_id, pos, freq) of the windows of a stream of chunks: how often the corpus has them. A stateless
     stream-static join, so it needs no watermark; windows that the corpus lacks have freq 0."""
-    wins = windows(arrivals, k).withColumn("key", canonical(F.col("kmer")))
+    wins = from_chunks(arrivals, k, span).withColumn("key", canonical(F.col("kmer")))
     return wins.join(counts, "key", "left").select("file_id", "seq_id", "pos", F.coalesce("freq", F.lit(0).cast("long")).alias("freq"))
