@@ -5,15 +5,18 @@ A window is ``window`` consecutive tokens (words or bytes) of one document. Its
 with the same anchor form a run of at most window - gram + 1 windows.
 
 1. Anchors are counted over the whole corpus (hashes only; pre-aggregated). Those that occur once are done with.
-2. A Bloom filter of the repeated anchors (its size is checked and bounded; a fuller filter passes more runs and never
-   fewer) is broadcast; the texts are read again, and runs that pass it are written: a slim row each, and their segments
-   (the bytes that the windows cover), of which a task collapses equal ones to a row with a count and the first place.
-   Where an anchor has more than ``HOT`` runs (a frequent passage, perhaps in ever new context), each window is a run of
-   its own, and is dealt by its own hash.
-3. Segments are dealt by anchor, which keeps equal windows together. The operator's kernel merges equal segments and
-   decides which windows of a segment repeat: one bit per window.
-4. A join brings the bits back to the runs; documents without any (a Bloom filter of the others tells) pass straight
-   through, and a join on document and text hash brings the marks to the rest.
+2. The texts are read again, and runs whose anchor repeats are written: a slim row each, and their segments (the bytes that
+   the windows cover), of which a task collapses equal ones to a row with a count and the first place. A Bloom filter of the
+   repeated anchors tells which they are, as long as it fits into ``max_bits`` to broadcast (it may pass an anchor too many,
+   which changes no result). Beyond that the anchors' places are joined with the repeated anchors, and each document gets
+   the list of its own. Where an anchor has more than ``HOT`` runs (a frequent passage, perhaps in ever new context), each
+   window is a run of its own, and is dealt by its own hash.
+3. Segments are dealt by anchor, which keeps equal windows together. The operator's kernel decides which windows of a
+   segment repeat, one bit per window; it compares words or bytes, never hashes alone.
+4. A join brings the bits back to the runs; documents without any (a Bloom filter of the others tells, while it fits) pass
+   straight through, and a join on document and text hash brings the marks to the rest.
+
+A segment is known by its anchor's hash and the xxh3 hash of its bytes, 128 bits in all.
 
 Tables that are no longer read are removed, and shuffles that nothing holds any more are released, as the steps go.
 """
@@ -29,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .flat import BYTE_VALUES, Rolling, array_of, binary_array, flat, is_blank, mix, slices, spread, starts_of, word_hashes, words
-from .shared import drop, hash_partitions, written
+from .flat import BYTE_VALUES, Rolling, array_of, binary_array, flat, mix, range_hashes, slices, spread, starts_of, word_hashes, words
+from .shared import drop, free, hash_partitions, written
 
 #: Runs of one anchor beyond which they are dealt by window.
 HOT = 20_000
@@ -144,7 +147,7 @@ class _Segments:
 
 
 def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int, hot: int = HOT) -> DataFrame:
-    """A written table of two kinds of rows. 0: the runs whose anchor repeats: h (anchor), sid (anchor and content), doc_id,
+    """A written table of two kinds of rows. 0: the runs whose anchor repeats: h (anchor), sid (hash of the content), doc_id,
     tkey, a (first window), n. 1: their segments, collapsed by task: h, sid, doc_id and a of the first place, n, copies,
     route, p (the anchor's place in content), content. doc_id is NULL_ID for null."""
     if not 1 <= window - gram + 1 <= 63:
@@ -159,33 +162,48 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int,
             yield pa.RecordBatch.from_arrays([signed(h), pa.array(n.astype(np.int32))], ["h", "n"])
 
     repeated = written(docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
-    filters = []
-    for least in (1, hot):
-        some = repeated.filter(F.col("n") > least)
-        rows = some.count()
-        filters.append(bloom.build(some.select("h"), bloom.pages_for(rows, max_bits=max_bits), least=1) if rows else None)
-    shared = spark.sparkContext.broadcast(filters)
-    drop(repeated)
+    few = bloom.fits(repeated.count(), max_bits)
+    if few:
+        filters = []
+        for least in (1, hot):
+            some = repeated.filter(F.col("n") > least)
+            rows = some.count()
+            filters.append(bloom.build(some.select("h"), rows) if rows else None)
+        shared = spark.sparkContext.broadcast(filters)
+        drop(repeated)
+        asked = docs.select("doc_id", "tkey", "text")
+    else:
+        asked = _with_known(docs, kind, window, gram, repeated, hot)
+
+    def known_of(part, doc, h):
+        """(whether each anchor repeats, whether it is hot)."""
+        if few:
+            known, hot_ones = shared.value
+            none = np.zeros(len(h), bool)
+            return (bloom.contains(x, h) if x is not None else none for x in (known, hot_ones))
+        lists = array_of(part, "known")
+        at, own = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        key = own.field("h").to_numpy().view(np.uint64) ^ mix(np.repeat(np.arange(len(at)), at).astype(np.uint64))
+        asks = h ^ mix(doc.astype(np.uint64))
+        return np.isin(asks, key), np.isin(asks, key[own.field("hot").to_numpy(zero_copy_only=False)])
 
     def extract(batches):
-        known, hot_ones = shared.value
         held = _Segments()
-        for part in slices(batches, limit=SLICE) if known is not None else ():
+        for part in slices(batches, "text", limit=SLICE):
             data, offsets = flat(array_of(part, "text"))
             values, bounds, span = kind.tokens(data, offsets)
             roll = Rolling(values, 0x8CB92BA72F3D8DD7)
             start, n, place, h = runs(roll, bounds, window, gram)
-            some = bloom.contains(known, h)
-            start, n, place, h = start[some], n[some], place[some], h[some]
-            apart = bloom.contains(hot_ones, h) if hot_ones is not None else np.zeros(len(h), bool)
+            some, apart = known_of(part, np.searchsorted(bounds, start, side="right") - 1, h)
+            start, n, place, h, apart = start[some], n[some], place[some], h[some], apart[some]
             if apart.any():
                 each = np.where(apart, n, 1)
                 row = np.repeat(np.arange(len(h)), each)
                 off = spread(np.zeros(len(h), np.int64), each)
                 start, n, place, h, apart = start[row] + off, np.where(apart[row], 1, n[row]), place[row], h[row], apart[row]
             size = n + window - 1
-            own = roll.of(start, start + size)
-            sid = mix(own ^ mix(((place - start) * 64 + n).astype(np.uint64)))
+            begin, length = span(start, size)
+            sid = range_hashes(data, begin, begin + length)
             doc = np.searchsorted(bounds, start, side="right") - 1
             ids, a = array_of(part, "doc_id").to_numpy()[doc], start - bounds[doc]
             zeros = pa.nulls(len(h), pa.int64())
@@ -193,14 +211,32 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int,
                 [pa.array(np.zeros(len(h), np.int8)), signed(h), signed(sid), pa.array(ids), pa.array(array_of(part, "tkey").to_numpy()[doc]), pa.array(a), pa.array(n.astype(np.int32)), zeros, zeros, pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())],
                 schema=held.schema,
             )
-            begin, length = span(start, size)
             anchor, _ = span(place, np.full(len(h), gram))
+            # by tokens, as two windows may have equal words and other blanks
+            own = roll.of(start, start + size) if apart.any() else h
             held.add([h, sid, ids, a, n, np.where(apart, own, h), np.where(apart, 0, anchor - begin)], data, begin, length)
             if held.size >= HELD:
                 yield from held.batches()
         yield from held.batches()
 
-    return written(docs.select("doc_id", "tkey", "text").mapInArrow(extract, "kind byte, h long, sid long, doc_id long, tkey long, a long, n int, copies long, route long, p int, content binary"), "segments")
+    out = written(asked.mapInArrow(extract, "kind byte, h long, sid long, doc_id long, tkey long, a long, n int, copies long, route long, p int, content binary"), "segments")
+    drop(repeated)
+    return out
+
+
+def _with_known(docs: DataFrame, kind: Kind, window: int, gram: int, repeated: DataFrame, hot: int) -> DataFrame:
+    """The documents that have repeated anchors, each with the list of its own (known: h, hot)."""
+
+    def places(batches):
+        for part in slices(batches, "text", limit=SLICE):
+            values, bounds, _ = kind.tokens(*flat(array_of(part, "text")))
+            start, _, _, h = runs(Rolling(values, 0x8CB92BA72F3D8DD7), bounds, window, gram)
+            doc = np.searchsorted(bounds, start, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(array_of(part, c).to_numpy()[doc]) for c in ("doc_id", "tkey")] + [signed(h)], ["doc_id", "tkey", "h"])
+
+    own = docs.select("doc_id", "tkey", "text").mapInArrow(places, "doc_id long, tkey long, h long").join(repeated.hint("merge"), "h")
+    lists = written(own.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("h", (F.col("n") > hot).alias("hot"))).alias("known")), "anchors")
+    return docs.select("doc_id", "tkey", "text").join(lists.hint("merge"), ["doc_id", "tkey"])
 
 
 def decide(found: DataFrame, kernel: Callable, by_range: bool, limit: int) -> DataFrame:
@@ -259,9 +295,9 @@ def marks(found: DataFrame, bits: DataFrame) -> DataFrame:
     mask = F.when(first, F.col("first")).otherwise(F.col("later")).bitwiseAND(full)
     slim = found.filter("kind = 0").select("h", "sid", "doc_id", "tkey", "a", "n")
     each = slim.join(bits, ["h", "sid"]).select("doc_id", "tkey", "a", mask.alias("mask")).filter("mask != 0")
-    out = written(each.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("a", "mask")).alias("marks")), "marks")
-    drop(found)
-    drop(bits)
+    # a set: equal rows of one document have equal marks
+    out = written(each.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("a", "mask")).alias("marks")), "marks")
+    drop(found, bits)
     return out
 
 
@@ -290,10 +326,18 @@ def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def with_marks(df: DataFrame, found: DataFrame, doc_id: str, text: str, run: Callable, schema, max_bits: int = bloom.MAX_BITS) -> DataFrame:
-    """mapInArrow of ``run`` over the frame's rows, with all columns, __body (the text, null as empty) and __marks (null:
-    none) as the last. Only rows whose document may have marks shuffle; a stage has one Python step."""
+    """mapInArrow of ``run`` over the frame's rows, with all columns, then the text (null as empty) and its marks (null:
+    none) as the last two. Only rows whose document may have marks shuffle; a stage has one Python step."""
     body, key = F.coalesce(F.col(text).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    shared = df.sparkSession.sparkContext.broadcast(bloom.build(found.select(F.xxhash64("doc_id", "tkey").alias("h")), bloom.pages_for(found.count(), max_bits=max_bits), least=1))
+    body_, own_, doc_, h_, marks_ = free(df, "body", "own", "doc", "h", "marks")
+    names = [*df.columns, body_, marks_]
+    columns = [f"`{c}`" for c in names[:-1]]
+    rows = df.withColumns({body_: body, own_: F.xxhash64(body), doc_: key})
+    m = found.select(F.col("doc_id").alias(doc_), F.col("tkey").alias(own_), F.col("marks").alias(marks_))
+    keys = found.count()
+    if not bloom.fits(keys, max_bits):
+        return rows.join(m, [doc_, own_], "left").select(*columns, f"`{marks_}`").mapInArrow(run, schema)
+    shared = df.sparkSession.sparkContext.broadcast(bloom.build(found.select(F.xxhash64("doc_id", "tkey").alias("h")), keys))
     kind = arrow_type(found.schema["marks"].dataType)
 
     def may_have(h: pa.Array) -> np.ndarray:
@@ -302,18 +346,15 @@ def with_marks(df: DataFrame, found: DataFrame, doc_id: str, text: str, run: Cal
     def unmarked(batches):
         def own():
             for batch in batches:
-                some = batch.filter(pa.array(~may_have(array_of(batch, "__h"))))
+                some = batch.filter(pa.array(~may_have(batch.column(batch.num_columns - 1))))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.nulls(some.num_rows, kind)], names)
 
         return run(own())
 
     asked = F.arrow_udf(lambda h: pa.array(may_have(h)), "boolean")
-    rows = df.withColumn("__body", body).withColumn("__own", F.xxhash64(body)).withColumn("__doc", key).withColumn("__h", F.xxhash64("__doc", "__own"))
-    m = found.select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__own"), F.col("marks").alias("__marks"))
-    names = [*df.columns, "__body", "__marks"]
-    columns = [f"`{c}`" for c in names[:-1]]
-    plain = rows.select(*columns, "__h").mapInArrow(unmarked, schema)
-    return plain.unionAll(rows.filter(asked("__h")).join(m, ["__doc", "__own"], "left").select(*columns, "__marks").mapInArrow(run, schema))
+    rows = rows.withColumn(h_, F.xxhash64(doc_, own_))
+    plain = rows.select(*columns, f"`{h_}`").mapInArrow(unmarked, schema)
+    return plain.unionAll(rows.filter(asked(F.col(h_))).join(m, [doc_, own_], "left").select(*columns, f"`{marks_}`").mapInArrow(run, schema))
 
 
 def arrow_type(kind) -> pa.DataType:

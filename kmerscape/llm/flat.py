@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -35,7 +36,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+def slices(batches, text: str | int = "text", limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of a slice stay near ``limit`` bytes and ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
@@ -108,7 +109,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any range of a sequence, by prefix sums of value * base**position modulo 2**64."""
+    """Hashes of any range of a sequence, by prefix sums of value * base**position modulo 2**64. For ranges of some hundred
+    values: beyond a thousand, there are sequences of two values that collide for every base."""
 
     def __init__(self, values: np.ndarray, base: int):
         """``values``: well mixed uint64."""
@@ -152,9 +154,52 @@ def _powers(base: int, n: int) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Mask of the first 0 to 8 bytes of a little-endian word.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxh3 of the bytes of each range."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
 def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return Rolling(BYTE_VALUES[data], 0xD1342543DE82EF95).of(first, end)
+    """A 64-bit hash of each word. Up to 16 bytes are mixed as two numbers, longer words are hashed by xxh3: a polynomial
+    modulo a power of two would give long words of two letters in certain orders one hash."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    size = end - first
+    low = eight[first] & FIRST_BYTES[np.minimum(size, 8)]
+    high = eight[first + 8] & FIRST_BYTES[np.clip(size - 8, 0, 8)]
+    out = mix(low ^ mix(high + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        out[long] = range_hashes(data, first[long], end[long])
+    return out
+
+
+def exact_ids(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word, equal where the bytes are: hashes propose, bytes decide."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    size = end - first
+    _, one, ids = np.unique(word_hashes(data, first, end), return_index=True, return_inverse=True)
+    other = one[ids]
+    same = size == size[other]
+    if same.all():
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        a, b = first, first[other]
+        same = ((eight[a] ^ eight[b]) & FIRST_BYTES[np.minimum(size, 8)]) | ((eight[a + 8] ^ eight[b + 8]) & FIRST_BYTES[np.clip(size - 8, 0, 8)]) == 0
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            same[long] = np.logical_and.reduceat(data[spread(a[long], size[long])] == data[spread(b[long], size[long])], starts_of(size[long])[:-1])
+    if same.all():
+        return ids
+    return binary_array(data[spread(first, size)], starts_of(size)).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def sha256_each(data, offsets) -> list[str]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, bloom
-from .flat import array_of, flat, sha256_each, slices, spread, starts_of
+from .flat import flat, sha256_each, slices, spread, starts_of
 
 LENGTH = 100
 GRAM = 38
@@ -105,9 +105,9 @@ def dedup(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans", "kept"] * kept]
 
     def run(batches):
-        for part in slices(batches, "__body", limit=1 << 20):
-            data, offsets = flat(array_of(part, "__body"))
-            gone = anchors.covered(array_of(part, "__marks"), offsets, length)
+        for part in slices(batches, 2, limit=1 << 20):
+            data, offsets = flat(part.column(2))
+            gone = anchors.covered(part.column(3), offsets, length)
             begins, ends = gone.copy(), gone.copy()
             begins[1:] &= ~gone[:-1]
             ends[:-1] &= ~gone[1:]

@@ -1,15 +1,22 @@
-"""Substring dedup on words by an FM-index per shard.
+"""Substring dedup on words by a compressed FM-index per shard.
 
 Windows of ``window`` words whose sequence also starts anywhere else are found; their words can be removed. anchors.py
 brings equal windows into one shard (by a hash of the anchor), each distinct segment once with its count. A shard's
-segments are the text of an FM-index: suffix array by prefix doubling, Burrows-Wheeler transform, and a wavelet matrix
-of packed bits with rank counters. Segments that occur more than once enter the text twice, which is all that the
-question "twice or more" needs. The segments are then streamed through the index side by side: backward search extends
-a match leftwards while it has two occurrences, which gives matching statistics; matches of ``window`` words or more are
-reported as intervals of repeated windows.
+segments are the text of a run-length compressed FM-index: suffix array by prefix doubling, Burrows-Wheeler transform, its
+runs of equal symbols kept as one bit vector of starts and a wavelet matrix of the runs' symbols, so that the index grows
+with the runs (repeated text has few) and not with the text. Segments that occur more than once enter the text twice, which
+is all that the question "twice or more" needs. The documents' segments that belong to the shard are then streamed through
+the index side by side, equal ones once: backward search extends a match leftwards while it has two occurrences, which gives
+matching statistics; matches of ``window`` words or more are reported as intervals of repeated windows. Symbols are numbers
+of words that are equal byte by byte.
+
+A document meets only the shards of its own anchors: every other shard has none of its windows, as equal windows have equal
+anchors. Streaming all documents through all shards would give the same intervals at quadratic cost.
 
 Defined cases: null text has no words; texts under ``window`` words have no window; every copy goes, the first included;
-repeated rows are two occurrences; null doc_id is a key like others; an empty table gives an empty result.
+repeated rows are two occurrences; null doc_id is a key like others; an empty table gives an empty result; long texts have
+many segments, which are dealt apart (a single text is cut into its words as one value); columns of any other name stay as
+they are.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, bloom
-from .flat import array_of, flat, sha256_each, slices, spread, starts_of, word_hashes, words
+from .flat import exact_ids, flat, sha256_each, slices, spread, starts_of, words
 
 WINDOW = 35
 GRAM = 10
@@ -28,31 +35,76 @@ GRAM = 10
 SHARD = 3 << 20
 
 
+class Bits:
+    """A packed bit vector with rank counters."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros((len(bit) // 64 + 1) * 64, bool)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        self.ranks = starts_of(np.bitwise_count(self.words).astype(np.int64))[:-1].astype(np.int32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """How many bits before each place are set."""
+        block = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ranks[block] + np.bitwise_count(self.words[block] & below).astype(np.int64)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ranks.nbytes
+
+
 class WaveletMatrix:
     """Rank of symbols in a sequence; one packed bit vector per bit of a symbol."""
 
     def __init__(self, sequence: np.ndarray, symbols: int):
         self.levels, now = max(1, int(symbols - 1).bit_length()), sequence.astype(np.int32)
-        self.words, self.ranks, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (now >> level & 1).astype(bool)
-            padded = np.zeros((len(bit) // 64 + 1) * 64, bool)
-            padded[: len(bit)] = bit
-            packed = np.packbits(padded, bitorder="little").view("<u8")
-            self.words.append(packed)
-            self.ranks.append(starts_of(np.bitwise_count(packed).astype(np.int64))[:-1].astype(np.int32))
+            self.bits.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
 
     def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the prefix of length ``at`` ends in the order of the last level, for each symbol."""
         for i, level in enumerate(range(self.levels - 1, -1, -1)):
-            block = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.ranks[i][block] + np.bitwise_count(self.words[i][block] & below).astype(np.int64)
+            ones = self.bits[i].ones(at)
             at = np.where(symbol >> level & 1, self.zeros[i] + ones, at - ones)
         return at
 
+    @property
+    def nbytes(self) -> int:
+        return sum(b.nbytes for b in self.bits)
+
+
+class RunLengths:
+    """Rank of symbols in a sequence that is kept as runs of equal symbols."""
+
+    def __init__(self, sequence: np.ndarray, symbols: int):
+        change = np.ones(len(sequence), bool)
+        change[1:] = sequence[1:] != sequence[:-1]
+        self.starts = np.append(np.flatnonzero(change), len(sequence))
+        self.heads = np.append(sequence[self.starts[:-1]], -1)
+        self.place, self.matrix = Bits(np.append(change, True)), WaveletMatrix(self.heads[:-1], symbols)
+        runs = np.argsort(self.heads[:-1], kind="stable")
+        self.before = starts_of(np.diff(self.starts)[runs])  # lengths of the runs by symbol, summed
+        first = starts_of(np.bincount(self.heads[:-1], minlength=symbols))[:-1]
+        # from the matrix's own order to the runs by symbol
+        self.move = first - self.matrix.descend(np.arange(symbols), np.zeros(symbols, np.int64))
+        self.first = self.before[first]
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the symbol before ``at``, plus the number of smaller symbols in all."""
+        run = self.place.ones(at + 1) - 1
+        whole = self.before[self.move[symbol] + self.matrix.descend(symbol, run)]
+        return whole + np.where(self.heads[run] == symbol, at - self.starts[run], 0)
+
+    @property
+    def nbytes(self) -> int:
+        return self.place.nbytes + self.matrix.nbytes + sum(x.nbytes for x in (self.starts, self.heads, self.before, self.move, self.first))
+
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """By prefix doubling; only suffixes that still tie are sorted again."""
@@ -80,11 +132,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Over segments of 64-bit words; ``copies`` (1 or 2) says how often each is in the text."""
+    """Over segments of word numbers (0, 1, ...); ``copies`` (1 or 2) says how often each is in the text."""
 
-    def __init__(self, values: np.ndarray, bounds: np.ndarray, copies: np.ndarray):
-        known, ids = np.unique(values, return_inverse=True)
-        self.symbols = len(known) + 1
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, copies: np.ndarray):
+        ids = ids.astype(np.int64)
         lengths = np.diff(bounds)
         again = np.repeat(np.arange(len(lengths)), copies)
         size = lengths[again] + 1
@@ -94,20 +145,15 @@ class FmIndex:
         inner[ends] = False
         text[inner] = len(again) + ids[spread(bounds[:-1][again], lengths[again])]
         text[ends] = np.arange(len(again))  # separators differ, so that suffixes do
-        order = suffix_array(text)
-        last = text[order - 1]
+        last = text[suffix_array(text) - 1]
         last = np.where(last < len(again), 0, last - len(again) + 1)
-        self.matrix = WaveletMatrix(last, self.symbols)
-        counts = np.bincount(last, minlength=self.symbols)
-        self.first = starts_of(counts)[:-1] - self.matrix.descend(np.arange(self.symbols), np.zeros(self.symbols, np.int64))
-        self.size = len(text)
-        self.ids = ids + 1
+        self.runs = RunLengths(last, int(ids.max(initial=-1)) + 2)
+        self.size, self.ids = len(text), ids + 1
 
     def back(self, symbol, low, high):
         """The interval of the match with this symbol before it."""
-        both = self.matrix.descend(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-        move = self.first[symbol]
-        return move + both[: len(symbol)], move + both[len(symbol) :]
+        both = self.runs.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return both[: len(symbol)], both[len(symbol) :]
 
 
 def repeated_windows(values: np.ndarray, bounds: np.ndarray, copies: np.ndarray, window: int) -> np.ndarray:
@@ -142,7 +188,7 @@ def repeated_windows(values: np.ndarray, bounds: np.ndarray, copies: np.ndarray,
 def _kernel(window: int):
     def run(data, offsets, n, copies, doc, a):
         first, end, bounds = words(data, offsets)
-        masks = repeated_windows(word_hashes(data, first, end), bounds, copies, window)
+        masks = repeated_windows(exact_ids(data, first, end), bounds, copies, window)
         return masks, masks
 
     return run
@@ -176,7 +222,7 @@ def dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "
 
     def run(batches):
         for batch in batches:
-            for part in slices([batch], text, limit=1 << 20):
+            for part in slices([batch], at, limit=1 << 20):
                 marked = part.column(part.num_columns - 1)
                 data, offsets = flat(part.column(at))
                 joined, bounds, _, removed = kept_words(data, offsets, marked, window)
@@ -193,8 +239,8 @@ def dedup(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "
 def report(df: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     def run(batches):
-        for part in slices(batches, "__body", limit=1 << 20):
-            joined, bounds, n, removed = kept_words(*flat(array_of(part, "__body")), array_of(part, "__marks"), window)
+        for part in slices(batches, 2, limit=1 << 20):
+            joined, bounds, n, removed = kept_words(*flat(part.column(2)), part.column(3), window)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array(sha256_each(joined, bounds))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     ids = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -9,7 +9,8 @@ Blocks decode apart: a reader steps through all blocks of a shard at once, one t
 Shards are rows of a Parquet table, so Spark's committer writes them whole or not at all, on any store.
 
 Defined cases: null text is empty and has the end id alone; equal doc_ids stay next to each other, ordered by their ids;
-null doc_id sorts first and is read back as null; an empty table gives no shard and no row; very long texts are one shard.
+null doc_id sorts first and is read back as null; an empty table gives no shard and no row; a very long text is one shard,
+with 64-bit offsets; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .bpe import load
 from .flat import array_of, binary_array, crc32_each, slices, starts_of
 from .op9_packing import tokenizer_path
-from .shared import hash_partitions, new_path, written
+from .shared import drop, hash_partitions, new_path, written
 
-MAGIC = b"HUFIDS01"
+MAGIC = b"HUFIDS02"
 HEADER = struct.Struct("<8sQQQI")
 BLOCK = 256
 LIMIT = 18
@@ -81,7 +82,7 @@ class Codebook:
         """(bytes, bit offset of each block)."""
         size = self.lengths[ids].astype(np.int64)
         if not len(ids):
-            return np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+            return np.zeros(0, np.uint8), np.zeros(0, np.uint64)
         at = starts_of(size)
         word, off = at[:-1] >> 6, (at[:-1] & 63).astype(np.uint64)
         high = self.codes[ids] << (np.uint64(64) - size.astype(np.uint64))
@@ -90,7 +91,7 @@ class Codebook:
         words[word[first]] = np.bitwise_or.reduceat(high >> off, first)
         over = np.flatnonzero(off.astype(np.int64) + size > 64)
         words[word[over] + 1] |= high[over] << (np.uint64(64) - off[over])
-        return words.astype(">u8").view(np.uint8)[: (int(at[-1]) + 7) >> 3], at[:-1][::BLOCK].astype(np.uint32)
+        return words.astype(">u8").view(np.uint8)[: (int(at[-1]) + 7) >> 3], at[:-1][::BLOCK].astype(np.uint64)
 
     def decode(self, data: np.ndarray, checkpoints: np.ndarray, total: int) -> np.ndarray:
         """All ids; the blocks are read side by side."""
@@ -111,7 +112,7 @@ class Codebook:
 # --- shards ---------------------------------------------------------------------------------------------------------
 def shard_bytes(book: Codebook, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     data, checkpoints = book.encode(ids)
-    return b"".join([HEADER.pack(MAGIC, len(doc_ids), len(ids), len(data), BLOCK), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), checkpoints.astype("<u4").tobytes(), data.tobytes()])
+    return b"".join([HEADER.pack(MAGIC, len(doc_ids), len(ids), len(data), BLOCK), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), checkpoints.astype("<u8").tobytes(), data.tobytes()])
 
 
 def shard_parts(book: Codebook, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,8 +123,8 @@ def shard_parts(book: Codebook, payload: bytes) -> tuple[np.ndarray, np.ndarray,
     at, blocks = HEADER.size, -(-total // block)
     doc_ids = np.frombuffer(payload, "<i8", docs, at)
     lengths = np.frombuffer(payload, "<u4", docs, at + 8 * docs)
-    checkpoints = np.frombuffer(payload, "<u4", blocks, at + 12 * docs)
-    data = np.frombuffer(payload, np.uint8, size, at + 12 * docs + 4 * blocks)
+    checkpoints = np.frombuffer(payload, "<u8", blocks, at + 12 * docs)
+    data = np.frombuffer(payload, np.uint8, size, at + 12 * docs + 8 * blocks)
     return doc_ids, lengths, book.decode(data, checkpoints, total)
 
 
@@ -196,6 +197,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
 
     ordered = coded.repartitionByRange(hash_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "z")
     ordered.mapInArrow(shards, "seq long, before long, docs long, tokens long, payload binary").withColumn("part", F.spark_partition_id()).write.option("compression", "none").parquet(f"{path}/shards")
+    drop(coded)
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:

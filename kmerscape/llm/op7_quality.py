@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), text_of(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__y", F.col("__text").alias("text"))
-    found = rows.mapInArrow(numbers, "id long, y int, x binary").toPandas().sort_values(["id", "x"]).head(sample)
+    # the limit is in the plan: a document id that many rows repeat doesn't reach the driver more than ``sample`` times
+    found = rows.mapInArrow(numbers, "id long, y int, x binary").orderBy("id", "x").limit(sample).toPandas()
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, FEATURES)
     return fit(x, found["y"].to_numpy(np.float32))
 

@@ -6,15 +6,21 @@
    reach ``recall`` at the threshold within ``max_hashes``. Band keys are shuffled; keys of one class only drop out.
 3. In a bucket, members are compared with leaders, not with each other: a member near a leader joins it, another becomes a
    leader; all members that could have a link to someone at a leader are tied to it. By the triangle inequality of the
-   Jaccard distance, two members with a link are tied to a common leader. Only spanning edges leave the bucket; their
-   components are families.
-4. The sets of families' representatives are read again from the texts (a bounded Bloom filter picks the documents) and
-   sent once to their family; large families are dealt to blocks, and pairs of blocks are tasks. All pairs of a task are
-   verified by bit counts over the n-grams that occur at least twice in it. Tasks return link counts and spanning edges.
-
-No cap on partners or candidates, and pairs are never rows. Defined cases: texts without a word have no n-gram, so no
-link and a class of their own; null text likewise; null doc_id is a document whose class prints null if it is the only
-member; repeated rows are copies; an empty table gives an empty result.
+   Jaccard distance, two members with a link are tied to a common leader. A bucket of more than ``part`` members is dealt to
+   parts by class: each part finds its leaders, and all leaders of the key meet the members of every part. Only spanning
+   edges leave; their components are families.
+4. The sets of families' representatives are read again from the texts (a Bloom filter picks the documents while it may be
+   broadcast, else a join does) and sent once to their family; large families are dealt to blocks, and pairs of blocks are
+   tasks. All pairs of a task are verified by bit counts over the n-grams that occur at least twice in it: at most
+   2 x ``block`` sets and ``block_bytes`` / 8 such n-grams, 128 MB of bits. Tasks return link counts and spanning edges.
+
+No cap on partners or candidates, and pairs are never rows. Exact link counts need every pair of a family, so the work of a
+family is quadratic in its different sets, in tasks of bounded size.
+
+Defined cases: texts without a word have no n-gram, so no link and a class of their own; null text likewise; a null doc_id
+is a document like others that comes after all numbers, so its class prints null only if no member has one; repeated rows
+are copies, and dedup() keeps one; a text of any length is one set; an empty table gives an empty result; columns of any
+other name stay as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .components import components
 from .flat import Rolling, array_of, binary_array, flat, mix, slices, spread, starts_of, word_hashes, words
-from .shared import hash_partitions, written
+from .shared import drop, free, hash_partitions, written
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -39,7 +45,9 @@ MAX_HASHES = 128
 #: error of the estimates.
 JOIN, TIE = 0.7, 0.4
 #: Members and bytes of sets of a block.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Members of a bucket's part.
+PART = 1024
 SEED = 0x2545F4914F6CDD1D
 #: Bytes of text whose n-grams are made at a time.
 SLICE = 1 << 20
@@ -186,31 +194,57 @@ def grouped(batches, keys: list[str]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _elect(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaders; ties as pairs: leader, member)."""
+    leaders, a, b, free_ = [], [], [], np.ones(len(own), bool)
+    while free_.any():
+        leader = int(np.argmax(free_))
+        alike = (own == own[leader]).mean(axis=1)
+        tied = np.flatnonzero(alike >= TIE)
+        leaders.append(leader)
+        a.append(np.full(len(tied), leader))
+        b.append(tied)
+        free_ &= alike < JOIN
+        free_[leader] = False
+    return np.array(leaders, np.int64), np.concatenate(a), np.concatenate(b)
+
+
+def _groups_of(table: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches, first row of each group and the number of rows)."""
+    turn = np.ones(table.num_rows, bool)
+    turn[1:] = False
+    for name in names:
+        column = table.column(name).to_numpy()
+        turn[1:] |= column[1:] != column[:-1]
+    sketch = np.ascontiguousarray(flat(table.column("sketch"))[0]).view(np.uint16).reshape(table.num_rows, -1)
+    return sketch, np.append(np.flatnonzero(turn), table.num_rows)
+
+
+def _leaders(batches):
+    """The leaders of each part of a bucket."""
+    for table in grouped(batches, ["key", "part"]):
+        sketch, starts = _groups_of(table, ["key", "part"])
+        rows = np.concatenate([a + _elect(sketch[a:b])[0] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())])
+        yield from table.select(["key", "cid", "parts", "sketch"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+
 def _tie(batches):
-    """Spanning edges of each bucket's members; see the module's step 3."""
-    for table in grouped(batches, ["key"]):
-        key, cid = table.column("key").to_numpy(), table.column("cid").to_numpy()
-        data, _ = flat(table.column("sketch"))
-        sketch = np.ascontiguousarray(data).view(np.uint16).reshape(len(key), -1)
-        turn = np.ones(len(key), bool)
-        turn[1:] = key[1:] != key[:-1]
-        starts = np.append(np.flatnonzero(turn), len(key))
+    """Spanning edges of the members of each bucket, or part of a bucket with the leaders of all parts (these come first)."""
+    for table in grouped(batches, ["key", "part"]):
+        sketch, starts = _groups_of(table, ["key", "part"])
+        cid, leads = table.column("cid").to_numpy(), table.column("leads").to_numpy(zero_copy_only=False)
         sizes = np.diff(starts)
         two = starts[:-1][sizes == 2]
         near = (sketch[two] == sketch[two + 1]).mean(axis=1) >= TIE if len(two) else np.zeros(0, bool)
         left, right = [cid[two[near]]], [cid[two[near] + 1]]
         for begin, size in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            own, open_ = sketch[begin : begin + size], np.ones(size, bool)
-            a, b = [], []
-            while open_.any():
-                leader = int(np.argmax(open_))
-                alike = (own == own[leader]).mean(axis=1)
-                tied = np.flatnonzero(alike >= TIE)
-                a.append(np.full(len(tied), leader))
-                b.append(tied)
-                open_ &= alike < JOIN
-                open_[leader] = False
-            label = spanning(size, np.concatenate(a), np.concatenate(b))
+            own, led = sketch[begin : begin + size], int(leads[begin : begin + size].sum())
+            if led:
+                tied = [np.flatnonzero((own == own[i]).mean(axis=1) >= TIE) for i in range(led)]
+                a, b = np.repeat(np.arange(led), [len(t) for t in tied]), np.concatenate(tied)
+            else:
+                _, a, b = _elect(own)
+            label = spanning(size, a, b)
             moved = np.flatnonzero(label != np.arange(size))
             left.append(cid[begin + moved])
             right.append(cid[begin + label[moved]])
@@ -219,6 +253,16 @@ def _tie(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
+def _tied(met: DataFrame, sketches: DataFrame, part: int, n: int) -> DataFrame:
+    """(a, b): spanning edges of the buckets. ``met``: key, cid, members."""
+    parts = F.ceil(F.col("members") / part).cast("int")
+    rows = met.join(sketches, "cid").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    found = rows.filter("parts > 1").select("key", "part", "cid", "parts", "sketch").repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_leaders, "key long, cid long, parts int, sketch binary")
+    leaders = found.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cid", "sketch", F.lit(True).alias("leads"))
+    both = rows.select("key", "part", "cid", "sketch", F.lit(False).alias("leads")).unionAll(leaders)
+    return both.repartition(n, "key", "part").sortWithinPartitions("key", "part", F.desc("leads")).mapInArrow(_tie, "a long, b long")
+
+
 def links(values: np.ndarray, bounds: np.ndarray, side: np.ndarray, both: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of all pairs of sets whose Jaccard similarity reaches the threshold; ``both``: only pairs across sides."""
     n = np.diff(bounds)
@@ -269,10 +313,10 @@ def _verify(threshold: float):
     return run
 
 
-def join(df: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def join(df: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, part: int = PART) -> DataFrame:
     """One row per document: doc_id, tkey (hash of the text), class_id (smallest doc_id of the documents that links
     connect), rep_id (smallest doc_id with the same n-grams), n_links (other documents at or above the threshold, copies
-    included), first (whether it is the one row that stays for its class)."""
+    included), first (whether it is the row, or a repeated row of the one, that stays for its class)."""
     spark = df.sparkSession
     n = hash_partitions(spark)
     bands, rows = banding(threshold, recall, max_hashes)
@@ -280,29 +324,38 @@ def join(df: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall:
     keyed = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tkey"), body.alias("text"))
     described = written(keyed.mapInArrow(_describe(size, bands, rows), "doc_id long, tkey long, k1 long, k2 long, n long, bands binary, sketch binary"), "op8")
     some = described.filter("n > 0")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("rep")
     classes = written(
-        some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()),
+        some.groupBy("k1", "k2").agg(F.count("*").alias("copies"), rep, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()),
         "op8",
     )
     keys = classes.select("cid", "bands").mapInArrow(_band_rows(bands), "key long, cid long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     met = written(keys.join(shared, "key"), "op8")
-    members = met.join(classes.select("cid", "sketch"), "cid").select("key", "cid", "sketch")
-    tied = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_tie, "a long, b long")
-    families = written(components(tied).select(F.col("node").alias("cid"), F.col("component").alias("family")), "op8")
+    families = written(components(_tied(met, classes.select("cid", "sketch"), part, n)).select(F.col("node").alias("cid"), F.col("component").alias("family")), "op8")
+    drop(met)
 
     chosen = written(families.join(classes.select("cid", "k1", "k2", "copies", "n", "rep"), "cid"), "op8")
-    bits = spark.sparkContext.broadcast(bloom.build(chosen.select(F.xxhash64("rep.doc_id", "rep.tkey").alias("h")), bloom.pages_for(chosen.count(), max_bits=max_bits), least=1))
+    drop(families)
+    asked, reps = keyed, chosen.count()
+    shared_bits = None
+    if bloom.fits(reps, max_bits):
+        shared_bits = spark.sparkContext.broadcast(bloom.build(chosen.select(F.xxhash64("rep.doc_id", "rep.tkey").alias("h")), reps))
+    else:
+        named = chosen.select(F.col("rep.doc_id").alias("rep_doc"), F.col("rep.tkey").alias("rep_key"))
+        asked = keyed.join(named.hint("merge"), keyed["doc_id"].eqNullSafe(named["rep_doc"]) & (keyed["tkey"] == named["rep_key"]), "left_semi")
 
     def sets(batches):
         for batch in batches:
-            own = bloom.contains(bits.value, array_of(batch, "h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            for part in slices([batch.filter(pa.array(own))], limit=SLICE):
+            if shared_bits is not None:
+                own = bloom.contains(shared_bits.value, array_of(batch, "h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                batch = batch.filter(pa.array(own))
+            for part in slices([batch], limit=SLICE):
                 hashes, bounds = ngrams(*flat(array_of(part, "text")), size)
                 first, second = set_keys(hashes, bounds)
                 yield pa.RecordBatch.from_arrays([array_of(part, "doc_id"), array_of(part, "tkey"), signed(first), signed(second), binary_array(hashes.view(np.uint8), bounds * 8).cast(pa.binary())], ["doc_id", "tkey", "k1", "k2", "grams"])
 
-    own = keyed.withColumn("h", F.xxhash64("doc_id", "tkey")).mapInArrow(sets, "doc_id long, tkey long, k1 long, k2 long, grams binary")
+    own = asked.withColumn("h", F.xxhash64("doc_id", "tkey")).mapInArrow(sets, "doc_id long, tkey long, k1 long, k2 long, grams binary")
     wanted = chosen.withColumn("rep_doc", F.col("rep.doc_id")).withColumn("rep_key", F.col("rep.tkey"))
     same = own["k1"].eqNullSafe(wanted["k1"]) & (own["k2"] == wanted["k2"]) & own["doc_id"].eqNullSafe(wanted["rep_doc"]) & (own["tkey"] == wanted["rep_key"])
     given = own.join(wanted, same).select("family", "cid", "copies", "n", "grams")
@@ -312,19 +365,29 @@ def join(df: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall:
     verified = written(dealt.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_verify(threshold), "cid long, links long, to long"), "op8")
     linked = verified.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = components(verified.filter("cid != to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
-    named = classes.select("cid", "k1", "k2", "rep_id", "copies", "rep").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    heads = named.groupBy("component").agg(F.min("rep_id").alias("class_id"), F.min("rep").alias("head"))
-    result = written(named.join(heads, "component").select("k1", "k2", "class_id", "rep_id", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "op8")
+    named = classes.select("cid", "k1", "k2", "copies", "rep").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    heads = named.groupBy("component").agg(F.min("rep").alias("head"))
+    result = written(named.join(heads, "component").select("k1", "k2", F.col("rep.doc_id").alias("rep_id"), "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "op8")
+    drop(classes, chosen, verified)
     alone = described.filter("n = 0").select("doc_id", "tkey", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     first = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.tkey") == F.col("tkey"))
-    return some.select("doc_id", "tkey", "k1", "k2").join(result, ["k1", "k2"]).select("doc_id", "tkey", "class_id", "rep_id", "n_links", first.alias("first")).unionAll(alone)
-
-
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows, with all columns, of which one stays for each class (repeated rows of that one count as one)."""
-    gone = join(df, doc_id=doc_id, text=text, **options).filter("not first").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__key")), "left_anti")
+    return some.select("doc_id", "tkey", "k1", "k2").join(result, ["k1", "k2"]).select("doc_id", "tkey", F.col("head.doc_id").alias("class_id"), "rep_id", "n_links", first.alias("first")).unionAll(alone)
+
+
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = bloom.MAX_BITS, **options) -> DataFrame:
+    """The rows, with all columns, of which one stays for each class. Rows that surely stay don't shuffle: a Bloom filter of
+    the others' keys, and of those of repeated rows, tells."""
+    found = join(df, doc_id=doc_id, text=text, max_bits=max_bits, **options).groupBy("doc_id", "tkey").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    special = written(found.filter("not first or n > 1"), "op8")
+    ident, key, page, words, left, right, stays = free(df, "id", "key", "page", "words", "id2", "key2", "stays")
+    rows = df.withColumns({ident: F.col(doc_id).cast("long"), key: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    n = bloom.pages_for(special.count())
+    cells = written(bloom.pages(special.select(F.xxhash64("doc_id", "tkey").alias("h")), n, least=1), "op8")
+    asked, plain = bloom.split(rows, F.xxhash64(ident, key), cells, n, (page, words), max_bits)
+    side = special.select(F.col("doc_id").alias(left), F.col("tkey").alias(right), F.col("first").alias(stays))
+    met = asked.join(side, F.col(ident).eqNullSafe(F.col(left)) & (F.col(key) == F.col(right)), "left")
+    again = met.filter(f"`{stays}`").dropDuplicates([ident, key])
+    return plain.select(*[f"`{c}`" for c in df.columns]).unionAll(met.filter(f"`{stays}` is null").unionAll(again).select(*[f"`{c}`" for c in df.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

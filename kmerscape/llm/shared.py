@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.place import file_system, folder, new_path  # noqa: F401
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder of the session. Only where none is set, as in local tests, a folder of this machine is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+#: Seconds between two requests to collect garbage, and when the last one was.
+GC_EVERY, _last_gc = 2.0, [0.0]
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The frame, written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation. Shuffle
-    files that nothing holds any more go when the JVM collects its garbage, so it is asked to."""
+    files that nothing holds any more go when the JVM collects its garbage, so it is asked to now and then."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    spark._jvm.System.gc()
+    if time.monotonic() - _last_gc[0] > GC_EVERY:
+        spark._jvm.System.gc()
+        _last_gc[0] = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Removes the files of a frame from written() that nothing lazy reads any more."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        df._written_path = None
+def remove(spark: SparkSession, path: str) -> None:
+    system, at = file_system(spark, path)
+    system.delete(at, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes the files of frames from written() that nothing lazy reads any more."""
+    for df in frames:
+        path = getattr(df, "_written_path", None)
+        if path:
+            remove(df.sparkSession, path)
+            df._written_path = None
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of the operator's own that the frame hasn't (Spark doesn't tell cases apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def hash_partitions(spark: SparkSession) -> int:

@@ -53,7 +53,7 @@ def near_copies(seed, families, members, spread):
     return [(i, t) for i, t in enumerate(out)] + [(len(out) + i, t) for i, t in enumerate(out[:9])]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3, "max_bits": 1 << 16}])
+@pytest.mark.parametrize("options", [{}, {"block": 3, "max_bits": 0, "part": 5}])
 @pytest.mark.parametrize("table", [[(d, t) for d, t, *_ in rows()], near_copies(1, 12, 12, 8), near_copies(2, 3, 60, 4)], ids=["cases", "near", "groups"])
 def test_links_and_classes(spark, table, options):
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
@@ -69,6 +69,33 @@ def test_one_of_each_class_stays(clashing, no_docs, spark):
     assert op8.dedup(no_docs).count() == op8.join(no_docs).count() == 0
 
 
+def test_the_row_that_names_its_class_stays(spark):
+    """Null doc_ids come last; of repeated rows one stays."""
+    text = prose(20, 200)
+    words = text.split(" ")
+    near = " ".join([*words[:-1], "other"])
+    df = spark.createDataFrame([(None, near), (3, text), (1, "t u v"), (1, "t u v"), (2, "t u v"), (None, "alone"), (None, "alone"), (7, ""), (7, "")], "doc_id long, text string")
+    for bits in (0, 1 << 28):
+        got = op8.join(df, max_bits=bits).collect()
+        assert {r.class_id for r in got if r.n_links == 1 and r.rep_id in (None, 3)} == {3, None}  # the pair, and the two nulls
+        assert sorted(map(str, op8.dedup(df, max_bits=bits).collect())) == sorted(map(str, df.filter("doc_id in (1, 3, 7) or text = 'alone'").distinct().collect()))
+
+
+def test_long_words_that_a_polynomial_cannot_tell_apart(spark):
+    from .test_substring_dedup import THUE_MORSE
+
+    other = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(0, THUE_MORSE), (1, other), (2, "a b c d " + THUE_MORSE), (3, "a b c d " + other)], "doc_id long, text string")
+    assert [r.n_links for r in op8.join(df).collect()] == [0] * 4
+
+
+def test_names_of_the_operators_own_do_not_clash(spark):
+    names = ["__id", "__key", "id", "key", "page", "words", "id2", "key2", "stays", "tkey", "first"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in enumerate(["a b", "a b", "c"])], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = op8.dedup(df)
+    assert got.schema == df.schema and sorted(tuple(r) for r in got.collect()) == [(0, "a b", *names), (2, "c", *names)]
+
+
 def test_banding_reaches_its_recall():
     for threshold, recall in ((0.8, 0.9995), (0.9, 0.999), (0.5, 0.95)):
         bands, rows_ = op8.banding(threshold, recall)

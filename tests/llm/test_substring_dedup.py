@@ -58,7 +58,7 @@ def mixed(seed, n):
     return out + [(n + i, out[i][1]) for i in range(0, n, 3)] + [(2 * n, "la " * 200), (2 * n + 1, "la lo " * 60 + "la " * 50)]
 
 
-OPTIONS = [{}, {"max_bits": 1 << 16, "hot": 3}, {"hot": 1}]
+OPTIONS = [{}, {"max_bits": 0, "hot": 3}, {"hot": 1}]
 
 
 @pytest.mark.parametrize("options", OPTIONS)
@@ -92,7 +92,7 @@ def test_removed_words_in_texts(clashing, no_docs):
 
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
-    values = rng.integers(0, 7, 400).astype(np.uint64)
+    values = rng.integers(0, 7, 400)
     bounds = np.array([0, 50, 50, 173, 400])
     index = op5.FmIndex(values, bounds, np.array([1, 1, 2, 1]))
     segments = [values[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -117,3 +117,50 @@ def test_suffix_ties():
         for i, g in enumerate(group.tolist()):
             seen.setdefault(bytes(data[i : i + length]), set()).add((g, i if g < 0 else 0))
         assert all(len(s) == 1 for s in seen.values()) and len({next(iter(s)) for s in seen.values()}) == len(seen)
+
+
+def test_index_is_compressed():
+    rng = np.random.default_rng(4)
+    once = rng.integers(0, 200, 300)
+    many = np.concatenate([np.roll(once, i) for i in range(100)])
+    small, large = (op5.FmIndex(x, np.arange(0, len(x) + 1, 300), np.ones(len(x) // 300, np.int64)).runs for x in (once, many))
+    assert large.nbytes < 0.25 * 100 * small.nbytes
+
+
+THUE_MORSE = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+
+
+def test_long_words_that_a_polynomial_cannot_tell_apart(spark):
+    """A word of two letters in Thue-Morse order and its complement have one hash modulo 2**64 for every base."""
+    head = prose(8, 34)
+    table = [(0, head + " " + THUE_MORSE), (1, head + " " + THUE_MORSE.translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert {r.n_removed for r in op5.report(df).collect()} == {0}
+    same = spark.createDataFrame([table[0], (1, table[0][1])], df.schema)
+    assert {r.n_removed for r in op5.report(same).collect()} == {35}
+
+
+def test_names_of_the_operators_own_do_not_clash(spark):
+    text = prose(9, 80)
+    names = ["__body", "body", "own", "doc", "h", "marks", "_h", "__marks"]
+    df = spark.createDataFrame([(i, text, *names) for i in range(2)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = op5.dedup(df)
+    assert got.schema == df.schema and [tuple(r)[1:] for r in got.collect()] == [("", *names)] * 2
+
+
+def test_equal_words_with_other_blanks(spark):
+    words = prose(10, 50).split(" ")
+    table = [(0, " ".join(words)), (1, "\n ".join(words)), (2, "  ".join(words[5:]))]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    for options in OPTIONS:
+        assert Counter(map(tuple, op5.report(df, **options).collect())) == Counter(brute_words(table, 35))
+
+
+def test_very_long_text(spark):
+    """One document of 3 MB that holds another one in its middle."""
+    passage = prose(11, 300)
+    table = [(0, prose(12, 300_000) + " " + passage + " " + prose(13, 300_000)), (1, passage)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert Counter(map(tuple, op5.report(df).collect())) == Counter(brute_words(table, 35))
+    got = {r.doc_id: r.n_removed for r in op10.dedup(df, kept=False).collect()}
+    assert got == {0: 0, 1: len(passage.encode())}
