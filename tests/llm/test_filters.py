@@ -56,23 +56,47 @@ def test_urls_without_labels_or_rows(spark):
     assert op2_url_filter.judge(df.selectExpr("page_id", "url", "1 row", "2 items", "3 token", "4 best"), labels).count() == df.count()
 
 
-def test_matching_by_index_is_matching_by_all_rules(spark):
-    _, df, labels = pages_and_labels(spark)
+def all_rules(transactions, support, confidence):
+    """{(antecedent, verdict): (confidence, support)} by counting every itemset of every transaction."""
+    from itertools import combinations
+
+    n, together, alone = len(transactions), Counter(), Counter()
+    for items, bad in transactions:
+        for size in range(1, len(items) + 1):
+            for s in combinations(sorted(items), size):
+                alone[s] += 1
+                together[s, "block" if bad else "allow"] += 1
+    return {k: (c / alone[k[0]], c / n) for k, c in together.items() if c / n >= support and c / alone[k[0]] >= confidence}
+
+
+@pytest.mark.parametrize("broadcast_rules", [0, 20_000])
+def test_verdicts_are_those_of_all_rules(spark, broadcast_rules):
+    """No rule is missed, and pruning changes no verdict: against all itemsets, counted one by one."""
+    rng = random.Random(3)
+    urls = [f"http://{rng.choice(['a', 'b', 'www.c'])}.{rng.choice(['net', 'info'])}/{rng.choice(['buy', 'read', 'x'])}/{rng.choice(['p', 'q/r', '7'])}" + rng.choice(["", "?k=1"]) for _ in range(160)]
+    labels = [(i, int(not ("buy" in u and "net" in u) if rng.random() < 0.9 else rng.random() < 0.5), int(rng.random() < 0.05)) for i, u in enumerate(urls) if i % 3]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     host, path = op2_url_filter.host_and_path(df.url)
-    rows = df.select("page_id", op2_url_filter.tokens(df.url, host, path).alias("items"))
-    known = {r.doc_id: (r.quality == 0 or r.toxic == 1) for r in labels.orderBy("quality", ascending=False).collect()}
-    items = [(r.page_id, r["items"]) for r in rows.collect()]
-    labelled = spark.createDataFrame([(i, known[p]) for p, i in items if p in known], "items array<string>, bad boolean")
-    rules = op2_url_filter.mine(labelled).collect()
-    n, have = labelled.count(), labelled.collect()
-    for r in rules:
-        covered = [x.bad for x in have if set(r.antecedent) <= set(x["items"])]
-        right = sum(b == (r.verdict == "block") for b in covered)
-        assert right / len(covered) == pytest.approx(r.confidence) and right / n == pytest.approx(r.support)
-    got = {r.page_id: r.mined for r in op2_url_filter.judge(df.filter("page_id >= 100"), labels).collect()}
-    for p, i in items:
-        if p in got:
-            assert got[p] == max((r.confidence for r in rules if set(r.antecedent) <= set(i)), default=None)
+    items = {r.page_id: set(r["items"]) for r in df.select("page_id", op2_url_filter.tokens(df.url, host, path).alias("items")).collect()}
+    transactions = [(items[i], q == 0 or t == 1) for i, q, t in labels]
+    rules = all_rules(transactions, 0.02, 0.6)
+    sets, n = op2_url_filter.frequent(spark.createDataFrame([(sorted(i), b) for i, b in transactions], "items array<string>, bad boolean"), 0.02)
+    mined = {(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in op2_url_filter.rules_of(sets, n, 0.02, 0.6).collect()}
+    assert mined.keys() == rules.keys() and all(mined[k] == pytest.approx(rules[k]) for k in rules)
+    left = {(tuple(r.antecedent), r.verdict) for r in op2_url_filter.mine(spark.createDataFrame([(sorted(i), b) for i, b in transactions], "items array<string>, bad boolean"), 0.02, 0.6).collect()}
+    assert left == {(a, v) for (a, v), (c, _) in rules.items() if not any(set(x) < set(a) and w == v and d >= c for (x, w), (d, _) in rules.items())}
+    for r in op2_url_filter.judge(df, known, rules=(), support=0.02, confidence=0.6, broadcast_rules=broadcast_rules).collect():
+        fits = [(*rules[k], k[1] == "block", k[1]) for k in rules if set(k[0]) <= items[r.page_id]]
+        assert (r.verdict, r.mined) == ((max(fits)[3], pytest.approx(max(fits)[0])) if fits else ("allow", None))
+
+
+def test_url_columns_that_clash(spark):
+    _, df, labels = pages_and_labels(spark)
+    names = ["host", "path", "rank", "token", "say", "mined", "rule"]
+    more = df.selectExpr("*", *[f"'{n}' {n}" for n in names])
+    plain, got = (sorted(map(str, op2_url_filter.judge(x, labels).collect())) for x in (df, more))
+    assert got == plain
 
 
 def corpus(n):
