@@ -40,8 +40,10 @@ def _digits(kmer: Column, part: int, to: str) -> Column:
 
 
 def packed(kmer: Column, k: int) -> Column:
-    """struct(v: array of values, m: array of masks): two bits a base, PACK bases a long; N is 0 with its mask bit set."""
-    return F.struct(F.array(*[_digits(kmer, i, "01230") for i in range(parts(k))]).alias("v"), F.array(*[_digits(kmer, i, "00001") for i in range(parts(k))]).alias("m"))
+    """struct(v: array of values, m: array of masks, null without an N): two bits a base, PACK bases a long; N is 0 with its
+    mask bit set."""
+    masks = F.when(F.contains(kmer, F.lit("N")), F.array(*[_digits(kmer, i, "00001") for i in range(parts(k))]))
+    return F.struct(F.array(*[_digits(kmer, i, "01230") for i in range(parts(k))]).alias("v"), masks.alias("m"))
 
 
 def mismatches(a: Column, b: Column, k: int) -> Column:
@@ -50,7 +52,8 @@ def mismatches(a: Column, b: Column, k: int) -> Column:
     def one(i: int) -> Column:
         x = a["v"][i].bitwiseXOR(b["v"][i])
         differs = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(EVEN_BITS))
-        return F.bit_count(differs.bitwiseOR(a["m"][i]).bitwiseOR(b["m"][i]))
+        masks = [F.coalesce(x["m"][i], F.lit(0).cast("long")) for x in (a, b)]
+        return F.bit_count(differs.bitwiseOR(masks[0]).bitwiseOR(masks[1]))
 
     return reduce(lambda x, y: x + y, [one(i) for i in range(parts(k))])
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import blocks, mismatches, packed, revcomp
+from ..sources.stored import once
 
 MAX_ERRORS = 4
 #: Most blocks of a seed.
@@ -73,9 +74,12 @@ def pairs(searched: DataFrame, targets: DataFrame, k: int, errors: int, n: int =
         return searched.filter(~F.contains("q", F.lit("N"))).join(hits.hint("merge"), F.col("q") == F.col("hit")).select("kmer", "strand", "hit", "cnt")
     s = s or blocks_per_seed(k, errors, n)
     cut, choices = _choices(k, errors, s)
-    left = searched.select("kmer", "strand", "q", packed(F.col("q"), k).alias("qp"), F.explode(_seeds(F.col("q"), k, errors, s)).alias("s")).select("kmer", "strand", "q", "qp", "s.*")
-    right = hits.select("hit", "cnt", packed(F.col("hit"), k).alias("hp"), F.explode(_seeds(F.col("hit"), k, errors, s)).alias("s")).select("hit", "cnt", "hp", "s.*")
+    # packed once, not for every seed; what is searched for follows from the k-mer and the strand, so it isn't sent with each
+    asks = once(searched, "qp", packed(F.col("q"), k)).select("kmer", "strand", "qp", F.explode(_seeds(F.col("q"), k, errors, s)).alias("s"))
+    left = asks.select("kmer", "strand", "qp", "s.*")
+    right = once(hits, "hp", packed(F.col("hit"), k)).select("hit", "cnt", "hp", F.explode(_seeds(F.col("hit"), k, errors, s)).alias("s")).select("hit", "cnt", "hp", "s.*")
     met = left.join(right.hint("merge"), ["b", "seed"]).filter(mismatches(F.col("qp"), F.col("hp"), k) <= errors)
+    met = met.withColumn("q", F.when(F.col("strand") == "+", F.col("kmer")).otherwise(revcomp(F.col("kmer"))))
     # no block before the last chosen one matches but the chosen ones
     skipped = F.array(*[F.array(*[F.lit(j) for j in range(c[-1]) if j not in c]).cast("array<int>") for c in choices])
     earlier = [F.array_contains(F.get(skipped, F.col("b")), j) & _same_block(F.col("q"), F.col("hit"), o, length) for j, (o, length) in enumerate(cut[:-1])]
