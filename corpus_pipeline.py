@@ -2,6 +2,10 @@
 
 Each stage is written as Parquet and read again as the next one's documents. All but the last return the columns of
 documents; a stage works on all rows that the one before kept.
+
+Defined cases: null text counts as empty and passes until a stage finds copies of it (exact dedup keeps one empty text); a null
+doc_id is a document like others; of repeated rows one stays; texts of any length are taken whole; columns of other names are
+kept by all stages but the last, whatever they are called; an empty table gives no piece.
 """
 
 from __future__ import annotations

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .flat import BYTE_VALUES, Rolling, array_of, binary_array, flat, mix, range_hashes, slices, spread, starts_of, word_hashes, words
-from .shared import drop, free, hash_partitions, written
+from .flat import BYTE_VALUES, Rolling, array_of, binary_array, flat, mix, range_hashes, slices, spread, starts_of, tidied, word_hashes, words
+from .shared import bounded, drop, free, hash_partitions, written
 
 #: Runs of one anchor beyond which they are dealt by window.
 HOT = 20_000
@@ -152,7 +152,7 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int,
     route, p (the anchor's place in content), content. doc_id is NULL_ID for null."""
     if not 1 <= window - gram + 1 <= 63:
         raise ValueError("a run must have 1 to 63 windows")
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
 
     def count(batches):
         for part in slices(batches, limit=SLICE):
@@ -161,7 +161,7 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int,
             h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([signed(h), pa.array(n.astype(np.int32))], ["h", "n"])
 
-    repeated = written(docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    repeated = written(docs.select("text").mapInArrow(tidied(count), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
     few = bloom.fits(repeated.count(), max_bits)
     if few:
         filters = []
@@ -219,7 +219,7 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int,
                 yield from held.batches()
         yield from held.batches()
 
-    out = written(asked.mapInArrow(extract, "kind byte, h long, sid long, doc_id long, tkey long, a long, n int, copies long, route long, p int, content binary"), "segments")
+    out = written(asked.mapInArrow(tidied(extract), "kind byte, h long, sid long, doc_id long, tkey long, a long, n int, copies long, route long, p int, content binary"), "segments")
     drop(repeated)
     return out
 
@@ -234,7 +234,7 @@ def _with_known(docs: DataFrame, kind: Kind, window: int, gram: int, repeated: D
             doc = np.searchsorted(bounds, start, side="right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(array_of(part, c).to_numpy()[doc]) for c in ("doc_id", "tkey")] + [signed(h)], ["doc_id", "tkey", "h"])
 
-    own = docs.select("doc_id", "tkey", "text").mapInArrow(places, "doc_id long, tkey long, h long").join(repeated.hint("merge"), "h")
+    own = docs.select("doc_id", "tkey", "text").mapInArrow(tidied(places), "doc_id long, tkey long, h long").join(repeated.hint("merge"), "h")
     lists = written(own.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("h", (F.col("n") > hot).alias("hot"))).alias("known")), "anchors")
     return docs.select("doc_id", "tkey", "text").join(lists.hint("merge"), ["doc_id", "tkey"])
 
@@ -261,7 +261,7 @@ def decide(found: DataFrame, kernel: Callable, by_range: bool, limit: int) -> Da
             row = row[some]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row], sid[row], doc[row], a[row], first[some], later[some])], ["h", "sid", "doc0", "a0", "first", "later"])
 
-    return written(dealt.mapInArrow(run, "h long, sid long, doc0 long, a0 long, first long, later long"), "bits")
+    return written(dealt.mapInArrow(tidied(run), "h long, sid long, doc0 long, a0 long, first long, later long"), "bits")
 
 
 def budgeted(batches, limit: int):
@@ -285,7 +285,6 @@ def budgeted(batches, limit: int):
         held, size = table.slice(start).to_batches(), int(ends[-1] - (ends[start - 1] if start else 0))
     if held:
         yield pa.Table.from_batches(held)
-    pa.default_memory_pool().release_unused()
 
 
 def marks(found: DataFrame, bits: DataFrame) -> DataFrame:
@@ -336,7 +335,7 @@ def with_marks(df: DataFrame, found: DataFrame, doc_id: str, text: str, run: Cal
     m = found.select(F.col("doc_id").alias(doc_), F.col("tkey").alias(own_), F.col("marks").alias(marks_))
     keys = found.count()
     if not bloom.fits(keys, max_bits):
-        return rows.join(m, [doc_, own_], "left").select(*columns, f"`{marks_}`").mapInArrow(run, schema)
+        return rows.join(m, [doc_, own_], "left").select(*columns, f"`{marks_}`").mapInArrow(tidied(run), schema)
     shared = df.sparkSession.sparkContext.broadcast(bloom.build(found.select(F.xxhash64("doc_id", "tkey").alias("h")), keys))
     kind = arrow_type(found.schema["marks"].dataType)
 
@@ -353,8 +352,8 @@ def with_marks(df: DataFrame, found: DataFrame, doc_id: str, text: str, run: Cal
 
     asked = F.arrow_udf(lambda h: pa.array(may_have(h)), "boolean")
     rows = rows.withColumn(h_, F.xxhash64(doc_, own_))
-    plain = rows.select(*columns, f"`{h_}`").mapInArrow(unmarked, schema)
-    return plain.unionAll(rows.filter(asked(F.col(h_))).join(m, [doc_, own_], "left").select(*columns, f"`{marks_}`").mapInArrow(run, schema))
+    plain = rows.select(*columns, f"`{h_}`").mapInArrow(tidied(unmarked), schema)
+    return plain.unionAll(rows.filter(asked(F.col(h_))).join(m, [doc_, own_], "left").select(*columns, f"`{marks_}`").mapInArrow(tidied(run), schema))
 
 
 def arrow_type(kind) -> pa.DataType:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flat import flat, mix
+from .flat import flat, mix, tidied
 
 PAGE = 1 << 16
 CELLS = 4
@@ -81,10 +81,10 @@ def build(hashes: DataFrame, keys: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["page", "cells"])
 
     schema = "page long, cells binary"
-    parts = hashes.filter(F.col(column).isNotNull()).mapInArrow(partial, schema)
+    parts = hashes.filter(F.col(column).isNotNull()).mapInArrow(tidied(partial), schema)
     bits = np.zeros((pages, PAGE // 8), np.uint8)
     # one row per page, max_bits in all
-    for row in parts.repartition(min(pages, 256), "page").mapInArrow(merged, schema).collect():
+    for row in parts.repartition(min(pages, 256), "page").mapInArrow(tidied(merged), schema).collect():
         bits[row.page] = np.frombuffer(row.cells, np.uint8)
     return bits
 
@@ -121,8 +121,8 @@ def pages(hashes: DataFrame, n: int, least: int) -> DataFrame:
             if bits.any():
                 yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([bits.view("<i8")], pa.list_(pa.int64()))], ["page", "words"])
 
-    parts = placed.mapInArrow(partial, "page long, cells binary")
-    return parts.repartition(min(n, max(1024, n >> 6)), "page").mapInArrow(merged, "page long, words array<long>")  # some 64 pages a task
+    parts = placed.mapInArrow(tidied(partial), "page long, cells binary")
+    return parts.repartition(min(n, max(1024, n >> 6)), "page").mapInArrow(tidied(merged), "page long, words array<long>")  # some 64 pages a task
 
 
 def asked(h: Column, words: Column) -> Column:

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import array_of, binary_array, flat, sha256_each, slices, spread, starts_of
+from .flat import array_of, binary_array, flat, sha256_each, slices, spread, starts_of, tidied
 from .interned import Interned
+from .shared import bounded
 
 SPACE = "▁"
 NONE = np.int32(0x7FFFFFFF)
@@ -260,7 +261,8 @@ def encode(df: DataFrame, path: str | None = None, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([array_of(part, "doc_id"), pa.array(np.diff(bounds)), *[made[o] for o in outputs]], ["doc_id", "n_tokens", *outputs])
 
     schema = ", ".join(["doc_id long, n_tokens long", *[f"{o} {kinds[o]}" for o in outputs]])
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    bounded(df.sparkSession)
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .flat import array_of, binary_array, crc32_each, slices, starts_of
+from .flat import array_of, binary_array, crc32_each, slices, starts_of, tidied
 from .op9_packing import tokenizer_path
-from .shared import drop, hash_partitions, new_path, written
+from .shared import bounded, drop, hash_partitions, new_path, written
 
 MAGIC = b"HUFIDS02"
 HEADER = struct.Struct("<8sQQQI")
@@ -143,7 +143,7 @@ def from_planes(raw: bytes, expand) -> np.ndarray:
 
 def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
     """Writes path/codebook and path/shards."""
-    spark, tokenizer = df.sparkSession, tokenizer or tokenizer_path()
+    spark, tokenizer = bounded(df.sparkSession), tokenizer or tokenizer_path()
 
     def tokens(batches):
         model, squeeze = load(tokenizer), zstandard.ZstdCompressor(level=1).compress
@@ -152,7 +152,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
             cuts = bounds.tolist()
             yield pa.RecordBatch.from_arrays([array_of(part, "doc_id"), pa.array(np.diff(bounds)), pa.array([planes(ids[a:b], squeeze) for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc_id", "n", "z"])
 
-    coded = written(df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tokens, "doc_id long, n long, z binary"), "op6", compression="none")
+    coded = written(df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(tokens), "doc_id long, n long, z binary"), "op6", compression="none")
 
     def count(batches):
         expand, seen = zstandard.ZstdDecompressor().decompress, np.zeros(1, np.int64)
@@ -166,7 +166,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["id", "n"])
 
     # one row per id of the vocabulary reaches the driver
-    counted = coded.select("z").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = coded.select("z").mapInArrow(tidied(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     limit = max(limit, int(max(1, (counts > 0).sum() - 1)).bit_length())
@@ -196,7 +196,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
             yield out()
 
     ordered = coded.repartitionByRange(hash_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "z")
-    ordered.mapInArrow(shards, "seq long, before long, docs long, tokens long, payload binary").withColumn("part", F.spark_partition_id()).write.option("compression", "none").parquet(f"{path}/shards")
+    ordered.mapInArrow(tidied(shards), "seq long, before long, docs long, tokens long, payload binary").withColumn("part", F.spark_partition_id()).write.option("compression", "none").parquet(f"{path}/shards")
     drop(coded)
 
 
@@ -219,7 +219,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     columns.append(binary_array(got.astype("<u4").view(np.uint8), at * 4).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids])
 
-    return shards.select("part", "before", "payload").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return shards.select("part", "before", "payload").mapInArrow(tidied(decoded), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .flat import Rolling, array_of, binary_array, flat, mix, slices, spread, starts_of, word_hashes, words
-from .shared import drop, free, hash_partitions, written
+from .flat import Rolling, array_of, binary_array, flat, mix, slices, spread, starts_of, tidied, word_hashes, words
+from .shared import bounded, drop, free, hash_partitions, written
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -257,10 +257,10 @@ def _tied(met: DataFrame, sketches: DataFrame, part: int, n: int) -> DataFrame:
     """(a, b): spanning edges of the buckets. ``met``: key, cid, members."""
     parts = F.ceil(F.col("members") / part).cast("int")
     rows = met.join(sketches, "cid").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    found = rows.filter("parts > 1").select("key", "part", "cid", "parts", "sketch").repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_leaders, "key long, cid long, parts int, sketch binary")
+    found = rows.filter("parts > 1").select("key", "part", "cid", "parts", "sketch").repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(tidied(_leaders), "key long, cid long, parts int, sketch binary")
     leaders = found.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cid", "sketch", F.lit(True).alias("leads"))
     both = rows.select("key", "part", "cid", "sketch", F.lit(False).alias("leads")).unionAll(leaders)
-    return both.repartition(n, "key", "part").sortWithinPartitions("key", "part", F.desc("leads")).mapInArrow(_tie, "a long, b long")
+    return both.repartition(n, "key", "part").sortWithinPartitions("key", "part", F.desc("leads")).mapInArrow(tidied(_tie), "a long, b long")
 
 
 def links(values: np.ndarray, bounds: np.ndarray, side: np.ndarray, both: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -317,19 +317,19 @@ def join(df: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall:
     """One row per document: doc_id, tkey (hash of the text), class_id (smallest doc_id of the documents that links
     connect), rep_id (smallest doc_id with the same n-grams), n_links (other documents at or above the threshold, copies
     included), first (whether it is the row, or a repeated row of the one, that stays for its class)."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     n = hash_partitions(spark)
     bands, rows = banding(threshold, recall, max_hashes)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tkey"), body.alias("text"))
-    described = written(keyed.mapInArrow(_describe(size, bands, rows), "doc_id long, tkey long, k1 long, k2 long, n long, bands binary, sketch binary"), "op8")
+    described = written(keyed.mapInArrow(tidied(_describe(size, bands, rows)), "doc_id long, tkey long, k1 long, k2 long, n long, bands binary, sketch binary"), "op8")
     some = described.filter("n > 0")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("rep")
     classes = written(
         some.groupBy("k1", "k2").agg(F.count("*").alias("copies"), rep, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()),
         "op8",
     )
-    keys = classes.select("cid", "bands").mapInArrow(_band_rows(bands), "key long, cid long")
+    keys = classes.select("cid", "bands").mapInArrow(tidied(_band_rows(bands)), "key long, cid long")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     met = written(keys.join(shared, "key"), "op8")
     families = written(components(_tied(met, classes.select("cid", "sketch"), part, n)).select(F.col("node").alias("cid"), F.col("component").alias("family")), "op8")
@@ -355,14 +355,14 @@ def join(df: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall:
                 first, second = set_keys(hashes, bounds)
                 yield pa.RecordBatch.from_arrays([array_of(part, "doc_id"), array_of(part, "tkey"), signed(first), signed(second), binary_array(hashes.view(np.uint8), bounds * 8).cast(pa.binary())], ["doc_id", "tkey", "k1", "k2", "grams"])
 
-    own = asked.withColumn("h", F.xxhash64("doc_id", "tkey")).mapInArrow(sets, "doc_id long, tkey long, k1 long, k2 long, grams binary")
+    own = asked.withColumn("h", F.xxhash64("doc_id", "tkey")).mapInArrow(tidied(sets), "doc_id long, tkey long, k1 long, k2 long, grams binary")
     wanted = chosen.withColumn("rep_doc", F.col("rep.doc_id")).withColumn("rep_key", F.col("rep.tkey"))
     same = own["k1"].eqNullSafe(wanted["k1"]) & (own["k2"] == wanted["k2"]) & own["doc_id"].eqNullSafe(wanted["rep_doc"]) & (own["tkey"] == wanted["rep_key"])
     given = own.join(wanted, same).select("family", "cid", "copies", "n", "grams")
     blocks = chosen.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
     placed = given.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("family", "cid", "copies", "grams", "block", F.least("block", "x").alias("p"), F.greatest("block", "x").alias("q"))
-    verified = written(dealt.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_verify(threshold), "cid long, links long, to long"), "op8")
+    verified = written(dealt.repartition(n, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(tidied(_verify(threshold)), "cid long, links long, to long"), "op8")
     linked = verified.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = components(verified.filter("cid != to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
     named = classes.select("cid", "k1", "k2", "copies", "rep").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
