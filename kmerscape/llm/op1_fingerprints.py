@@ -4,11 +4,13 @@ Byte triplets of each window of four bytes are hashed to 256 buckets and counted
 quartile of its count among the document's buckets; a logarithmic length byte goes before. Two digests differ by the sum
 of their buckets' quartile steps (opposite quartiles count double) and the length step, bounded by ``BOUND``.
 
-Defined cases: null counts as empty; texts under four bytes have the all-zero body; equal texts have equal digests.
-The digest is a map without a shuffle. "The next document" needs an order: rows go once to buckets of doc_id ranges whose
-bounds come from quantiles, and the first row of each range is also sent to the range before it, so that a range has all
-it needs. Texts are compressed for the shuffle. Rows of equal doc_id are ordered by their compressed texts; null doc_id
-comes last.
+Defined cases: null counts as empty; texts under four bytes have the all-zero body; equal texts have equal digests; a text of
+any length is counted as a whole; other columns stay as they are in digest() and are never read by edited(); an empty table
+gives an empty result.
+The digest is a map without a shuffle. "The next document" needs an order: descending doc_id, null last, and rows of equal
+doc_id by descending xxhash64 of their texts. Rows go once to buckets of ranges of this order, as many as the bytes of text
+ask for; bounds come from quantiles, and a doc_id with the rows of several ranges is divided by the hash. The first row of
+each range is also sent to the range before it, so that a range has all it needs. Texts are compressed for the shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .flat import array_of, flat, sha256_each, slices
+from .flat import array_of, flat, sha256_each, slices, tidied
 from .op4_exact_dedup import text_of
-from .shared import hash_partitions
+from .shared import bounded, hash_partitions
 
 BUCKETS = 256
 #: Bytes of text whose triplets are counted at a time.
@@ -30,6 +32,8 @@ SLICE = 1 << 20
 BOUND = 416
 #: Texts whose lengths differ by this factor are one length step apart.
 LENGTH_STEP = 1.2
+#: Bytes of text of a range, more or less.
+RANGE_BYTES = 128 << 20
 STEPS = np.array([0, 1, 2, 6], np.int64)
 TRIPLETS = ((0, 1, 2, 0x9E3779B1), (0, 1, 3, 0x85EBCA77), (0, 2, 3, 0xC2B2AE3D))
 
@@ -90,16 +94,32 @@ def digest(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("fingerprint", fingerprint(text_of(text)))
 
 
+class Ranges:
+    """Numbers of ranges, ascending with (doc_id, hash of the text); null ids come first, down from 0."""
+
+    def __init__(self, bounds: list[int], nulls: int):
+        self.bounds, self.nulls = np.array(bounds, np.int64), max(nulls, 1)
+
+    def of(self, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        own, h = ids.fill_null(0).to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        share = (h.astype(np.float64) + 2.0**63) / 2.0**64  # where the hash lies among all: 0 to 1
+        low, high = (np.searchsorted(self.bounds, own, side=x) for x in ("left", "right"))
+        each = high - low  # bounds that are this id: so many ranges has it
+        out = np.where(each > 0, low + 1 + np.minimum((share * each).astype(np.int64), np.maximum(each - 1, 0)), high + 1)
+        void = np.minimum((share * self.nulls).astype(np.int64), self.nulls - 1) - (self.nulls - 1)
+        return np.where(ids.is_valid().to_numpy(zero_copy_only=False), out, void).astype(np.int32)
+
+
 def with_next(df: DataFrame, doc_id: str, text: str, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, fingerprint, z (the compressed text), and fingerprint and z of the next document in descending
     doc_id."""
-    spark = df.sparkSession
-    ranges = ranges or 2 * hash_partitions(spark)
+    spark = bounded(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    bounds = np.array(sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}), np.int64)
-
-    def range_of(ids: pa.Array) -> np.ndarray:
-        return np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="right") + 1, 0).astype(np.int32)
+    sizes = rows.agg(F.count("*").alias("all"), F.count("doc_id").alias("named"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = ranges or max(2 * hash_partitions(spark), -(-(sizes["bytes"] or 0) // RANGE_BYTES))
+    bounds = rows.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
+    place = Ranges(sorted(int(x) for x in bounds), -(-ranges * (sizes["all"] - sizes["named"]) // max(sizes["all"], 1)))
+    keyed = rows.withColumn("h", F.xxhash64("text"))
 
     def described(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -108,20 +128,22 @@ def with_next(df: DataFrame, doc_id: str, text: str, ranges: int | None = None)
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
             raw, cuts = data.tobytes(), offsets.tolist()
             body = pa.array([squeeze(raw[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
-            ids = array_of(part, "doc_id")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(chars)), pa.array(to_text(codes_of(data, offsets)), pa.string()), pa.array(range_of(ids)), body], ["doc_id", "n_chars", "fingerprint", "r", "z"])
+            ids, h = array_of(part, "doc_id"), array_of(part, "h")
+            yield pa.RecordBatch.from_arrays([ids, h, pa.array(np.diff(chars)), pa.array(to_text(codes_of(data, offsets)), pa.string()), pa.array(place.of(ids, h)), body], ["doc_id", "h", "n_chars", "fingerprint", "r", "z"])
 
-    numbered = F.arrow_udf(lambda ids: pa.array(range_of(ids)), "int")
+    numbered = F.arrow_udf(lambda ids, h: pa.array(place.of(ids, h)), "int")
     # one row per range: as many as bounds, not as documents
-    heads = sorted((r[0], r[1]) for r in rows.select(numbered("doc_id").alias("r"), "doc_id").groupBy("r").agg(F.max("doc_id")).collect()) or [(0, None)]
-    to = {r: heads[i + 1][0] if i + 1 < len(heads) else heads[0][0] for i, (r, _) in enumerate(heads)}
-    heads_df = spark.createDataFrame([(r, top, to[r]) for r, top in heads], "r int, top long, to int")
-    placed = rows.mapInArrow(described, "doc_id long, n_chars long, fingerprint string, r int, z binary").join(F.broadcast(heads_df), "r")
+    found = keyed.select("doc_id", "h").withColumn("r", numbered("doc_id", "h")).groupBy("r").agg(F.max_by("doc_id", F.struct("doc_id", "h")).alias("doc_id"), F.max_by("h", F.struct("doc_id", "h")).alias("h")).collect()
+    heads = sorted((r.r, r.doc_id, r.h) for r in found) if found else [(0, None, 0)]
+    to = {r: heads[i + 1][0] if i + 1 < len(heads) else heads[0][0] for i, (r, *_) in enumerate(heads)}
+    heads_df = spark.createDataFrame([(r, top, h, to[r]) for r, top, h in heads], "r int, top long, top_h long, to int")
+    placed = keyed.mapInArrow(tidied(described), "doc_id long, h long, n_chars long, fingerprint string, r int, z binary").join(F.broadcast(heads_df), "r")
     own = F.struct(F.col("r").alias("at"), F.lit(0).alias("guard"))
     guard = F.struct(F.col("to").alias("at"), F.lit(1).alias("guard"))
-    dealt = placed.select("doc_id", "n_chars", "fingerprint", "z", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guard)).otherwise(F.array(own))).alias("p"))
-    order = Window.partitionBy("at").orderBy("guard", F.desc_nulls_last("doc_id"), "z")
-    follow = dealt.select("doc_id", "n_chars", "fingerprint", "z", "p.*").select("*", F.lead(F.struct("z", "fingerprint")).over(order).alias("next"))
+    first = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("h") == F.col("top_h"))
+    dealt = placed.select("doc_id", "h", "n_chars", "fingerprint", "z", F.explode(F.when(first, F.array(own, guard)).otherwise(F.array(own))).alias("p"))
+    order = Window.partitionBy("at").orderBy("guard", F.desc_nulls_last("doc_id"), F.desc("h"))
+    follow = dealt.select("doc_id", "h", "n_chars", "fingerprint", "z", "p.*").select("*", F.lead(F.struct("z", "fingerprint")).over(order).alias("next"))
     return follow.filter("guard = 0").select("doc_id", "n_chars", "fingerprint", "z", F.col("next.fingerprint").alias("next_fingerprint"), F.col("next.z").alias("next_z"))
 
 
@@ -143,7 +165,7 @@ def edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(df, doc_id, text).mapInArrow(compare, schema)
+    return with_next(df, doc_id, text).mapInArrow(tidied(compare), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

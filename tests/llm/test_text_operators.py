@@ -169,10 +169,100 @@ def test_fingerprints(unique_docs, no_docs, clashing):
     assert op1_fingerprints.likeness(codes[:1], codes[1:2])[0] > op1_fingerprints.likeness(codes[:1], codes[2:])[0]
 
 
-def test_fingerprints_with_equal_and_null_ids(docs):
+def by_hand(text):
+    """The digest, bucket by bucket: counts of hashed triplets, quartiles, and the length's step."""
+    import math
+
+    raw, counts, m = text.encode(), [0] * 256, 0xFFFFFFFF
+    for i in range(len(raw) - 3):
+        w = raw[i : i + 4]
+        for a, b, c, salt in op1_fingerprints.TRIPLETS:
+            h = (w[a] * (salt | 1) + w[b] * 0x27D4EB2F + w[c] * 0x165667B1) & m
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & m
+            counts[h >> 24] += 1
+    ranked = sorted(counts)
+    q = [ranked[63], ranked[127], ranked[191]]
+    codes = [sum(x > y for y in q) for x in counts]
+    step = min(int(math.floor(math.log(max(len(raw), 1)) / math.log(1.2))), 255)
+    return step, codes
+
+
+def likeness_by_hand(a, b):
+    steps = {0: 0, 1: 1, 2: 2, 3: 6}
+    return 1 - min(416, sum(steps[abs(x - y)] for x, y in zip(a[1], b[1])) + abs(a[0] - b[0])) / 416
+
+
+def test_digest_and_likeness_by_hand():
+    some = [t or "" for t in texts()]
+    codes = op1_fingerprints.codes_of(*flat.flat(pa.array(some)))
+    own = [by_hand(t) for t in some]
+    for i, (step, body) in enumerate(own):
+        assert codes[i].tolist() == [step, *body]
+        packed = bytes([step]) + bytes(body[j] << 6 | body[j + 1] << 4 | body[j + 2] << 2 | body[j + 3] for j in range(0, 256, 4))
+        assert op1_fingerprints.to_text(codes[i : i + 1]) == [packed.hex()]
+        assert op1_fingerprints.likeness(codes[i : i + 1], codes[:1])[0] == pytest.approx(likeness_by_hand(own[i], own[0]))
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_order_of_equal_and_null_ids(spark, docs, ranges):
+    """Descending doc_id, null last; rows of one doc_id by descending hash of the text, however many they are."""
+    import xxhash
+
+    extra = [(7, prose(500 + i, 20 + i)) for i in range(40)] + [(None, prose(600 + i, 30)) for i in range(30)]
+    table = [(d, t or "") for d, t, *_ in rows()] + extra
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    ordered = sorted(table, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
+    want = Counter()
+    for i, (d, t) in enumerate(ordered):
+        k, follow = len(t) // 3, ordered[(i + 1) % len(ordered)][1]
+        want[d, len(t), sha(t[: len(t) - k] + follow[:k])] += 1
+    import zstandard
+
+    got = Counter()
+    for r in op1_fingerprints.with_next(df, "doc_id", "text", ranges).collect():
+        t, follow = (zstandard.ZstdDecompressor().decompress(z).decode() for z in (r.z, r.next_z))
+        k = len(t) // 3
+        got[r.doc_id, r.n_chars, sha(t[: len(t) - k] + follow[:k])] += 1
+    assert got == want
     assert op1_fingerprints.edited(docs).count() == len(rows())
 
 
+def test_a_doc_id_of_many_rows_has_many_ranges():
+    place = op1_fingerprints.Ranges([5, 5, 5, 5, 9], 3)
+    h = pa.array(np.linspace(-(2**63), 2**63 - 1025, 100).astype(np.int64))
+    for ids, ranges in ((pa.array([5] * 100), {1, 2, 3, 4}), (pa.array([None] * 100, pa.int64()), {-2, -1, 0}), (pa.array([4] * 100), {1}), (pa.array([6] * 100), {5})):
+        r = place.of(ids, h)
+        assert (np.diff(r) >= 0).all() and set(r.tolist()) == ranges
+
+
+def test_packing_of_null_and_repeated_rows_and_buckets(spark, docs, clashing, ids_of, tmp_path):
+    pieces = op9_packing.pack(docs)
+    want = Counter((d, len(ids_of(t)) + 1) for d, t, *_ in rows())
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces.filter("start = 0").collect()) == want
+    op9_packing.write(pieces, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == pieces.count()
+    for length in (1, 64, 2048):
+        assert {r.length for r in op9_packing.batch(spark, str(tmp_path / "p"), length).collect()} <= {length}
+    assert op9_packing.pack(clashing).count() > 0
+
+
+def test_sentencepiece_of_null_and_repeated_rows_and_a_long_word(spark, docs, clashing):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=op3_sentencepiece.model_path())
+    assert Counter((r.doc_id, r.n_tokens) for r in op3_sentencepiece.encode(docs).collect()) == Counter((d, len(sp.encode(t or "")) + 1) for d, t, *_ in rows())
+    long = "".join(prose(700, 4000).split(" "))
+    got = op3_sentencepiece.encode(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert list(got.ids)[:-1] == sp.encode(long) and op3_sentencepiece.encode(clashing).count() == len(texts())
+
+
+def test_token_files_with_clashing_columns(spark, clashing):
+    path = new_path(spark, "t")
+    op6_token_files.write(clashing, path)
+    assert op6_token_files.read(spark, path, ids=False).count() == len(texts())
+
+
 def test_names_of_the_operators_own_do_not_clash(spark):
     names = ["page", "words", "sha", "id", "row", "_row", "h", "best", "size", "__maybe", "__id", "__sha", "__row"]
     df = spark.createDataFrame([(i, t, *names) for i, t in enumerate(["a", "b", "a", "c"])], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
