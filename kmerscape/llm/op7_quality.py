@@ -1,16 +1,17 @@
 """Quality classifier: nearest-neighbour voting among labelled documents in a latent semantic space.
 
-Features are counts of hashed byte triplets of the whole text, as square roots, and six shares (words equal to the one
-before, distinct words, the most frequent triplet, symbols, capitals, digits), each as a point between two of BINS bins.
-A bounded sample of
-labelled documents (``sample``, those of the smallest hash of doc_id, by a top-k of the labels) gives a truncated
+Features are counts of hashed byte triplets of the whole text, as square roots, and two shares that no count of triplets
+tells, as it forgets their order: words equal to the one before, and distinct words. A share is a point between two of BINS
+bins, so that the latent space sees it as it sees triplets (the README has figures without either).
+A bounded sample of labelled documents (``sample``, those of the smallest hash of doc_id, by a top-k of the labels) gives a truncated
 singular value decomposition; the labelled documents' latent vectors are broadcast. Their size is bounded by sample x
 rank. Every document's cosines with all labelled vectors are computed exactly, block by block, and the ``neighbours``
 nearest vote with weight exp(sharpness x (cosine - 1)). Nothing but the text enters a score.
 
 Defined cases: null counts as empty; texts without a triplet have no direction and get the sample's share of label 1;
 null doc_id is not held out; of repeated labels of a document the largest counts; without labels every score is 0.5;
-repeated rows get equal scores; an empty table gives an empty result.
+repeated rows get equal scores; a text of any length is one vector; other columns are never read, and keep() leaves them as
+they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flat import flat, mix, slices, word_hashes, words
+from .flat import flat, mix, release, slices, tidied, word_hashes, words
 from .op4_exact_dedup import text_of
+from .shared import bounded
 
 TRIPLETS = 2048
-SHARES, BINS, SHARE_WEIGHT = 6, 8, 0.5
+SHARES, BINS, SHARE_WEIGHT = 2, 8, 0.5
 FEATURES = TRIPLETS + SHARES * BINS
 RANK = 48
 #: Bound of the labelled sample: its features take SAMPLE x FEATURES x 4 bytes on the driver (32 MB) while it is fitted.
@@ -46,8 +48,8 @@ class Model(NamedTuple):
 
 
 def shares(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """n x (SHARES - 1): equal neighbours, distinct words, symbols, capitals, digits; square roots, to tell small shares."""
-    n, sizes = len(offsets) - 1, np.maximum(np.diff(offsets), 1)
+    """n x SHARES: equal neighbours and distinct words; square roots, to tell small shares."""
+    n = len(offsets) - 1
     first, end, bounds = words(data, offsets)
     hashes, home = word_hashes(data, first, end), doc[first]
     count = np.maximum(np.diff(bounds), 1)
@@ -58,11 +60,7 @@ def shares(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray) -> np.ndarray
     own = keys[order]
     fresh = np.ones(len(own), bool)
     fresh[1:] = own[1:] != own[:-1]
-    letter, upper, digit = (data >= 97) & (data <= 122), (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
-    symbol = (data >= 33) & (data < 127) & ~letter & ~upper & ~digit
-    parts = [np.bincount(home[same], minlength=n) / count, np.bincount(home[order][fresh], minlength=n) / count]
-    parts += [np.bincount(doc[x], minlength=n) / sizes for x in (symbol, upper, digit)]
-    return np.sqrt(np.stack(parts, axis=1))
+    return np.sqrt(np.stack([np.bincount(home[same], minlength=n) / count, np.bincount(home[order][fresh], minlength=n) / count], axis=1))
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -78,7 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         counts = np.bincount(doc[:-2][inside] * TRIPLETS + h[inside], minlength=n * TRIPLETS).reshape(n, TRIPLETS)
         total = np.maximum(counts.sum(axis=1), 1)
         out[:, :TRIPLETS] = np.sqrt(counts / total[:, None])
-        at = np.concatenate([shares(data, offsets, doc), np.sqrt(counts.max(axis=1) / total)[:, None]], axis=1).clip(0, 1) * (BINS - 1)
+        at = shares(data, offsets, doc).clip(0, 1) * (BINS - 1)
         low = np.minimum(at.astype(np.int64), BINS - 2)
         column, row = TRIPLETS + np.arange(SHARES) * BINS + low, np.arange(n)[:, None]
         out[row, column], out[row, column + 1] = SHARE_WEIGHT * (low + 1 - at), SHARE_WEIGHT * (at - low)
@@ -131,19 +129,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
 
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), text_of(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__y", F.col("__text").alias("text"))
     # the limit is in the plan: a document id that many rows repeat doesn't reach the driver more than ``sample`` times
-    found = rows.mapInArrow(numbers, "id long, y int, x binary").orderBy("id", "x").limit(sample).toPandas()
+    found = rows.mapInArrow(tidied(numbers), "id long, y int, x binary").orderBy("id", "x").limit(sample).toPandas()
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, FEATURES)
     return fit(x, found["y"].to_numpy(np.float32))
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
-    shared = spark.sparkContext.broadcast(tuple(model))
+    shared = bounded(spark).sparkContext.broadcast(tuple(model))
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         own, out = Model(*shared.value), [np.zeros(0)]
         for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], limit=SLICE, rows=ROWS):
             out.append(score(own, features(*flat(part.column(0)))))
+        release()
         return pa.array(np.concatenate(out))
 
     return scored(text)

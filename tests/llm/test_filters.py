@@ -190,3 +190,46 @@ def test_pipeline(spark, tmp_path):
     assert op4_exact_dedup.mark(seen[3]).filter("not kept").count() == 0
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in whole.collect()) == pieces
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path, no_docs):
+    """Null and repeated doc_ids, null and empty texts, columns with the operators' own names, and an empty table."""
+    import corpus_pipeline
+
+    from .test_ngram_join import brute as near
+    from .test_substring_dedup import brute_words
+
+    names = ["page", "words", "id", "key", "body", "marks", "h", "row", "sha"]
+    long = prose(31, 30_000)
+    table = [(None, long), (None, long), (3, prose(32, 90)), (3, prose(32, 90)), (4, prose(32, 90)), (5, None), (6, ""), (7, prose(33, 40) + " " + prose(34, 50)), (8, prose(34, 50) + " " + prose(35, 40))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *names) for d, t in table], SCHEMA + ", " + ", ".join(f"`{n}` string" for n in names))
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    now, seen = spark.read.parquet(str(tmp_path / "some/documents.parquet")), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, now, str(tmp_path / "some")).write.parquet(str(tmp_path / f"stage{i}"))
+        now = spark.read.parquet(str(tmp_path / f"stage{i}"))
+        assert now.schema == docs.schema
+        seen.append([(r.doc_id, r.text) for r in now.collect()])
+    assert len(seen[0]) == len(table)  # without labels nothing is rejected
+    exact = {t or "": max((d for d, u in table if (u or "") == (t or "") and d is not None), default=None) for _, t in table}
+    assert Counter(d for d, _ in seen[1]) == Counter(exact.values())
+    assert Counter(d for d, _ in seen[2]) == Counter(d for d, c, _ in near(seen[1]) if d == c)
+    want = {d: n for d, _, n, _ in brute_words(seen[2], 35)}
+    assert all((t == dict(seen[2])[d]) == (want[d] == 0) for d, t in seen[3]) and sum(want.values()) == 100
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_quality_of_repeated_and_long_rows_and_clashing_columns(spark):
+    """A labelled id that many rows repeat reaches the driver as often as the sample allows; other columns stay."""
+    data = list(corpus(120))
+    names = ["h", "score", "__id", "__y", "x", "id", "y"]
+    rows = [(x[0], x[1], *names) for x in data] + [(1, data[1][1], *names)] * 300 + [(500, prose(41, 40_000), *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(x[0], x[5], 0) for x in data], "doc_id long, quality int, toxic int")
+    assert len(op7_quality.train(docs, labels, sample=50).labels) == 50
+    got = op7_quality.classify(docs, labels)
+    assert got.count() == len(rows) and got.filter("doc_id = 1").select("score").distinct().count() == 1
+    kept = op7_quality.keep(docs, labels)
+    assert kept.schema == docs.schema and kept.filter("doc_id = 500").count() == 1
