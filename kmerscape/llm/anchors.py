@@ -5,12 +5,12 @@ A window is ``window`` consecutive tokens (words or bytes) of one document. Its
 with the same anchor form a run of at most window - gram + 1 windows.
 
 1. Anchors are counted over the whole corpus (hashes only; pre-aggregated). Those that occur once are done with.
-2. The texts are read again, and runs whose anchor repeats are written: a slim row each, and their segments (the bytes that
-   the windows cover), of which a task collapses equal ones to a row with a count and the first place. A Bloom filter of the
-   repeated anchors tells which they are, as long as it fits into ``max_bits`` to broadcast (it may pass an anchor too many,
-   which changes no result). Beyond that the anchors' places are joined with the repeated anchors, and each document gets
-   the list of its own. Where an anchor has more than ``HOT`` runs (a frequent passage, perhaps in ever new context), each
-   window is a run of its own, and is dealt by its own hash.
+2. The texts are read again, and runs whose anchor repeats are written: a slim row for the equal ones of a text (a periodic
+   text has many), and their segments (the bytes that the windows cover), of which a task collapses equal ones to a row with
+   a count and the first place. A Bloom filter of the repeated anchors tells which they are, as long as it fits into
+   ``max_bits`` to broadcast (it may pass an anchor too many, which changes no result). Beyond that the anchors' places are
+   joined with the repeated anchors, and each document gets the list of its own. Where an anchor has more than ``HOT`` runs
+   (a frequent passage, perhaps in ever new context), each window is a run of its own, and is dealt by its own hash.
 3. Segments are dealt by anchor, which keeps equal windows together. The operator's kernel decides which windows of a
    segment repeat, one bit per window; it compares words or bytes, never hashes alone.
 4. A join brings the bits back to the runs; documents without any (a Bloom filter of the others tells, while it fits) pass
@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ SLICE = 1 << 19
 NULL_ID = -(1 << 63)
 #: Bytes of an anchor that the range partitioner sees.
 LEAD = 16
+#: Places of equal runs of one text in a row; their steps take 256 KB.
+PLACES = 1 << 16
 
 
 class Kind(NamedTuple):
@@ -116,6 +119,31 @@ def merged(h, sid, doc, a, copies) -> tuple[np.ndarray, np.ndarray]:
     return first[again], total[again]
 
 
+def by_text(doc, h, sid, a) -> tuple[np.ndarray, pa.Array]:
+    """(row of the first place of each distinct (doc, h, sid); the steps from there to its further places, four bytes each,
+    null where there is none). A row holds PLACES places at most."""
+    order = np.lexsort((a, sid, h, doc))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]) | (sid[order][1:] != sid[order][:-1])
+    starts = np.flatnonzero(fresh)
+    fresh |= (np.arange(len(order)) - starts[np.cumsum(fresh) - 1]) % PLACES == 0
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(starts, len(order)))
+    steps = np.diff(a[order], prepend=0)[~fresh].astype("<u4").view(np.uint8)
+    some = pc.if_else(pa.array(sizes > 1), binary_array(steps, starts_of(4 * (sizes - 1))), None).cast(pa.binary())
+    # in the order of the rows, whose places are small when they are packed
+    back = np.argsort(order[starts])
+    return order[starts][back], some.take(pa.array(back))
+
+
+def places(a: np.ndarray, steps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the further places that by_text() tells."""
+    data, offsets = flat(steps)
+    n, by = np.diff(offsets) // 4, np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+    total, row = starts_of(by), np.repeat(np.arange(len(n)), n)
+    return row, a[row] + total[1:] - total[offsets[:-1] // 4][row]
+
+
 class _Segments:
     """Segments that a task holds: columns h, sid, doc, a, copies, n, route, p (place of the anchor's bytes), content."""
 
@@ -143,13 +171,14 @@ class _Segments:
             own = length[row[some]]
             raw = binary_array(content[spread(at[row[some]], own)], starts_of(own)).cast(pa.binary())
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), signed(h), signed(sid), pa.array(doc), none, pa.array(a), pa.array(n.astype(np.int32)), pa.array(copies[some]), signed(route), pa.array(p.astype(np.int32)), raw], schema=self.schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), signed(h), signed(sid), pa.array(doc), none, pa.array(a), pa.array(n.astype(np.int32)), pa.array(copies[some]), pa.array(route.view(np.int64), mask=route == h), pa.array(p.astype(np.int32)), raw], schema=self.schema)
 
 
 def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int, hot: int = HOT) -> DataFrame:
-    """A written table of two kinds of rows. 0: the runs whose anchor repeats: h (anchor), sid (hash of the content), doc_id,
-    tkey, a (first window), n. 1: their segments, collapsed by task: h, sid, doc_id and a of the first place, n, copies,
-    route, p (the anchor's place in content), content. doc_id is NULL_ID for null."""
+    """A written table of two kinds of rows. 0: the runs whose anchor repeats, equal ones of a text as one: h (anchor), sid
+    (hash of the content), doc_id, tkey, a (first window), n, and as content the steps to the further places (see by_text).
+    1: their segments, collapsed by task: h, sid, doc_id and a of the first place, n, copies, route (null: h), p (the anchor's
+    place in content), content. doc_id is NULL_ID for null."""
     if not 1 <= window - gram + 1 <= 63:
         raise ValueError("a run must have 1 to 63 windows")
     spark = bounded(docs.sparkSession)
@@ -206,9 +235,10 @@ def segments(docs: DataFrame, kind: Kind, window: int, gram: int, max_bits: int,
             sid = range_hashes(data, begin, begin + length)
             doc = np.searchsorted(bounds, start, side="right") - 1
             ids, a = array_of(part, "doc_id").to_numpy()[doc], start - bounds[doc]
-            zeros = pa.nulls(len(h), pa.int64())
+            row, steps = by_text(doc, h, sid, a)
+            zeros = pa.nulls(len(row), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(h), np.int8)), signed(h), signed(sid), pa.array(ids), pa.array(array_of(part, "tkey").to_numpy()[doc]), pa.array(a), pa.array(n.astype(np.int32)), zeros, zeros, pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())],
+                [pa.array(np.zeros(len(row), np.int8)), signed(h[row]), signed(sid[row]), pa.array(ids[row]), pa.array(array_of(part, "tkey").to_numpy()[doc[row]]), pa.array(a[row]), pa.array(n[row].astype(np.int32)), zeros, zeros, pa.nulls(len(row), pa.int32()), steps],
                 schema=held.schema,
             )
             anchor, _ = span(place, np.full(len(h), gram))
@@ -243,7 +273,7 @@ def decide(found: DataFrame, kernel: Callable, by_range: bool, limit: int) -> Da
     """A written table of h, sid, doc_id and a of the first place, and the kernel's bits: first (windows of the first copy
     that repeat) and later (of other copies); rows without any bit are left out. A kernel gets about ``limit`` bytes."""
     n = hash_partitions(found.sparkSession)
-    dealt = found.filter("kind = 1").select("route", "p", "h", "sid", "doc_id", "a", "n", "copies", "content")
+    dealt = found.filter("kind = 1").select(F.coalesce("route", "h").alias("route"), "p", "h", "sid", "doc_id", "a", "n", "copies", "content")
     if by_range:
         lead = F.substring("content", F.col("p") + 1, F.lit(LEAD))
         dealt = dealt.repartitionByRange(n, lead, "route").sortWithinPartitions(lead, "route")
@@ -288,29 +318,45 @@ def budgeted(batches, limit: int):
 
 
 def marks(found: DataFrame, bits: DataFrame) -> DataFrame:
-    """A written table of doc_id (NULL_ID for null), tkey and the list of (a, mask): windows a + i whose bit i is set."""
+    """A written table of doc_id (NULL_ID for null), tkey and marks. These are the list ``one`` of (a, mask): windows a + i
+    whose bit i is set, and the list ``more`` of (a, steps, mask): the same at the places that steps tell."""
     full = F.when(F.col("n") >= 63, F.lit((1 << 63) - 1)).otherwise(F.expr("shiftleft(1L, n)") - 1)
     first = (F.col("doc_id") == F.col("doc0")) & (F.col("a") == F.col("a0"))
     mask = F.when(first, F.col("first")).otherwise(F.col("later")).bitwiseAND(full)
-    slim = found.filter("kind = 0").select("h", "sid", "doc_id", "tkey", "a", "n")
-    each = slim.join(bits, ["h", "sid"]).select("doc_id", "tkey", "a", mask.alias("mask")).filter("mask != 0")
-    # a set: equal rows of one document have equal marks
-    out = written(each.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("a", "mask")).alias("marks")), "marks")
+    # the first copy's is the least place of all, so it is never one of the further places
+    rest = F.col("later").bitwiseAND(full)
+    slim = found.filter("kind = 0").select("h", "sid", "doc_id", "tkey", "a", "n", F.col("content").alias("steps"))
+    each = slim.join(bits, ["h", "sid"]).select("doc_id", "tkey", "a", mask.alias("mask"), "steps", rest.alias("rest"))
+    each = each.filter("mask != 0 or (steps is not null and rest != 0)")
+    one = F.when(F.col("mask") != 0, F.struct("a", "mask"))
+    more = F.when(F.col("steps").isNotNull() & (F.col("rest") != 0), F.struct("a", "steps", F.col("rest").alias("mask")))
+    # sets, which leave nulls out: equal rows of one document have equal marks
+    both = F.struct(F.collect_set(one).alias("one"), F.collect_set(more).alias("more"))
+    out = written(each.groupBy("doc_id", "tkey").agg(both.alias("marks")), "marks")
     drop(found, bits)
     return out
 
 
+def listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the lists' values, the list of each)."""
+    starts = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
+    sizes = np.diff(starts).astype(np.int64)
+    if lists.null_count:
+        sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+    return spread(starts[:-1].astype(np.int64), sizes), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def covered(marks: pa.Array, bounds: np.ndarray, window: int) -> np.ndarray:
     """Whether each token lies in a marked window. ``bounds``: offset of each document in tokens."""
     step = np.zeros(int(bounds[-1]) + 1, np.int32)
-    lists = marks.offsets.to_numpy() if len(marks) else np.zeros(1, np.int32)
-    sizes = np.diff(lists)
-    if marks.null_count:
-        sizes = np.where(marks.is_null().to_numpy(zero_copy_only=False), 0, sizes)
-    rows = spread(lists[:-1].astype(np.int64), sizes.astype(np.int64))
-    if len(rows):
-        a = marks.values.field("a").to_numpy(zero_copy_only=False)[rows] + np.repeat(bounds[:-1], sizes)
-        mask = marks.values.field("mask").to_numpy(zero_copy_only=False)[rows]
+    one, more = marks.flatten()
+    rows, doc = listed(one)
+    some, home = listed(more)
+    if len(rows) or len(some):
+        a, mask = (one.values.field(c).to_numpy(zero_copy_only=False)[rows] for c in ("a", "mask"))
+        first, own = (more.values.field(c).to_numpy(zero_copy_only=False)[some] for c in ("a", "mask"))
+        row, place = places(first, more.values.field("steps").take(pa.array(some)))
+        a, mask = np.concatenate([a + bounds[doc], place + bounds[home[row]]]), np.concatenate([mask, own[row]])
         for bit in range(64):
             start = a[(mask >> bit) & 1 == 1] + bit
             np.add.at(step, start, 1)

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from kmerscape.llm import anchors
 from kmerscape.llm import op5_substring_dedup as op5
 from kmerscape.llm import op10_suffix_dedup as op10
 
@@ -164,3 +165,35 @@ def test_very_long_text(spark):
     assert Counter(map(tuple, op5.report(df).collect())) == Counter(brute_words(table, 35))
     got = {r.doc_id: r.n_removed for r in op10.dedup(df, kept=False).collect()}
     assert got == {0: 0, 1: len(passage.encode())}
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_periodic_texts_have_a_row_for_each_distinct_run(spark, options):
+    """Equal runs of a text are one row that meets the bits, however often and wherever they start."""
+    def table(times):
+        loops = [(i, prose(60 + i, 40) + " " + "la lo " * times + prose(80 + i, 40) + " " + "la lo " * (times // 2)) for i in range(12)]
+        return [*loops, loops[5], (3, loops[4][1]), (None, loops[6][1])]
+
+    found = []
+    for times in (100, 200):
+        df = spark.createDataFrame(table(times), "doc_id long, text string")
+        for kind, window, gram in ((anchors.WORDS, 35, 10), (anchors.BYTES, 100, 38)):
+            slim = anchors.segments(anchors.keyed(df, "doc_id", "text"), kind, window, gram, options.get("max_bits", 1 << 28), options.get("hot", anchors.HOT)).filter("kind = 0")
+            found.append(slim.count())
+            assert slim.select("doc_id", "tkey", "h", "sid").distinct().count() == found[-1] - slim.filter("doc_id = 5").count() // 2
+    assert found[:2] == found[2:]
+    df = spark.createDataFrame(table(100), "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, op5.report(df, **options).collect())) == Counter(brute_words(table(100), 35))
+    assert Counter(tuple(r)[:5] for r in op10.dedup(df, **options).collect()) == Counter(brute_bytes(table(100), 100))
+
+
+@pytest.mark.parametrize("most", [anchors.PLACES, 3, 1])
+def test_places_of_equal_runs(monkeypatch, most):
+    monkeypatch.setattr(anchors, "PLACES", most)
+
+    rng = np.random.default_rng(5)
+    doc, h, sid, a = rng.integers(0, 5, 500), rng.integers(0, 3, 500).astype(np.uint64), rng.integers(0, 3, 500).astype(np.uint64), rng.permutation(10**6)[:500]
+    row, steps = anchors.by_text(doc, h, sid, a)
+    assert len(row) == sum(-(-n // most) for n in Counter(zip(doc, h, sid)).values())
+    at, place = anchors.places(a[row], steps)
+    assert Counter([*zip(doc[row], h[row], sid[row], a[row]), *zip(doc[row][at], h[row][at], sid[row][at], place)]) == Counter(zip(doc, h, sid, a))
