@@ -5,7 +5,8 @@ tells, as it forgets their order: words equal to the one before, and distinct wo
 bins, so that the latent space sees it as it sees triplets (the README has figures without either).
 A bounded sample of labelled documents (``sample``, those of the smallest hash of doc_id, by a top-k of the labels) gives a truncated
 singular value decomposition; the labelled documents' latent vectors are broadcast. Their size is bounded by sample x
-rank. Every document's cosines with all labelled vectors are computed exactly, block by block, and the ``neighbours``
+rank. The first axis is what all texts share; it would bring the cosines of unlike texts near those of like ones and is left
+out. Every document's cosines with all labelled vectors are computed exactly, block by block, and the ``neighbours``
 nearest vote with weight exp(sharpness x (cosine - 1)). Nothing but the text enters a score.
 
 Defined cases: null counts as empty; texts without a triplet have no direction and get the sample's share of label 1;
@@ -90,14 +91,14 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, rank: int = RANK) -> Model:
-    """The latent space by subspace iteration from a fixed start."""
+    """The latent space, without its first axis, by subspace iteration from a fixed start."""
     if not len(y):
         return Model(np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     basis = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 8, len(x), x.shape[1])))
     for _ in range(6):
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     _, _, right = np.linalg.svd(x @ basis, full_matrices=False)
-    projection = (basis @ right.T)[:, :rank].astype(np.float32)
+    projection = (basis @ right.T)[:, 1 : rank + 1].astype(np.float32)
     return Model(projection, unit(x @ projection).astype(np.float32), y.astype(np.float32), float(y.mean()))
 
 

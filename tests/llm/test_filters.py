@@ -138,6 +138,20 @@ def test_held_out_labels_are_not_learnt(spark):
     assert a == b
 
 
+def test_few_labels_of_a_kind_are_enough():
+    """Of a kind of bad documents a handful is labelled, fewer than vote; unlike neighbours must not outweigh them."""
+    import zlib
+
+    data = list(corpus(60))
+    x, y = op7_quality.features(*flat.flat(pa.array([d[1] for d in data]))), np.array([d[5] for d in data])
+    learnt = np.array([zlib.crc32(str(d[0]).encode()) % 5 != 0 for d in data])
+    model = op7_quality.fit(x[learnt], y[learnt].astype(np.float32))
+    assert ((op7_quality.score(model, x) >= op7_quality.THRESHOLD) == y).all()
+    for n in (1, 2, 3):
+        small = op7_quality.fit(x[:n], y[:n].astype(np.float32))
+        assert np.isfinite(small.vectors).all() and ((0 <= op7_quality.score(small, x)) & (op7_quality.score(small, x) <= 1)).all()
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(0)
     texts = [x[1] for x in corpus(80)]
