@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.place import file_system, folder, new_path  # noqa: F401
+from ..sources.place import bounded, file_system, folder, new_path  # noqa: F401
 
 
 #: Seconds between two requests to collect garbage, and when the last one was.
 GC_EVERY, _last_gc = 2.0, [0.0]
 
 
-#: Bytes of an Arrow batch between the JVM and Python; both sides hold some of them for each task.
-BATCH_BYTES = 4 << 20
-
-
-def bounded(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches of at most BATCH_BYTES (or one row): ten thousand texts may be very long together."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.match(r"\d+", spark.conf.get(name))
-    if not now or int(now[0]) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-    return spark
-
-
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The frame, written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation. Shuffle
     files that nothing holds any more go when the JVM collects its garbage, so it is asked to now and then."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.alphabet import canonical, revcomp
-from ..operators.windows import from_chunks, windows
+from ..operators.packed import FREQ, Plan, against, exploded, parts_of, spans, stored_counts
+from ..operators.windows import check_k, from_chunks, total, windows
 from ..sources.stored import SPAN
 
 
@@ -22,3 +26,44 @@ def arriving_frequency(arrivals: DataFrame, counts: DataFrame, k: int, span: int
     stream-static join, so it needs no watermark; windows that the corpus lacks have freq 0."""
     wins = from_chunks(arrivals, k, span).withColumn("key", canonical(F.col("kmer")))
     return wins.join(counts, "key", "left").select("file_id", "seq_id", "pos", F.coalesce("freq", F.lit(0).cast("long")).alias("freq"))
+
+
+@dataclass(frozen=True)
+class _Arrived:
+    """The chunks of a micro-batch, in the place of a corpus."""
+
+    chunks: DataFrame
+    span: int
+
+    def reaching(self, k: int) -> DataFrame:
+        return self.chunks
+
+
+@dataclass(frozen=True)
+class Against:
+    """The counts of a fixed corpus at a path, and what streams of chunks ask of them. Each micro-batch is asked in groups of
+    chunks and written under its number, so one that is run again overwrites itself."""
+
+    path: str
+    plan: Plan
+
+    @classmethod
+    def counted(cls, corpus, k: int, path: str) -> Against:
+        check_k(k)
+        if k - 1 > corpus.overlap:
+            raise ValueError(f"k is at most {corpus.overlap + 1}: a chunk that arrives has no next one")
+        plan = Plan(k, corpus.span, parts_of(total(corpus.directory, k), len(spans(k, 2))), both=True)
+        stored_counts(corpus, plan).write.parquet(path)
+        return cls(path, plan)
+
+    def write(self, arrivals: DataFrame, out: str, marks: str) -> StreamingQuery:
+        """Starts a query that answers what has arrived; read() has its rows."""
+        def answer(batch: DataFrame, number: int) -> None:
+            counts = batch.sparkSession.read.parquet(self.path)
+            against(_Arrived(batch, self.plan.span), counts, self.plan).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        return arrivals.writeStream.foreachBatch(answer).option("checkpointLocation", marks).trigger(availableNow=True).start()
+
+    def read(self, spark: SparkSession, out: str) -> DataFrame:
+        """(file_id, seq_id, pos, freq) of the windows that have arrived; 0 for those that the corpus lacks."""
+        return exploded(spark.read.schema(FREQ).parquet(f"{out}/batch=*"), zeros=True)
