@@ -114,7 +114,7 @@ def test_arriving_chunks(spark, small, tmp_path):
     assert got == {(f, s, i): freq(t[i : i + 9]) for (f, s), t in text.items() for i in range(len(t) - 8)}
 
 
-WHOLE = "mappability_e0 raw_payloads runs selection_e0 txt_lines unique_kmers wig_lines bed_selection bedgraph_lines exclude_pseudo_e0 freq16_dense freq8_saturated freq_e0_both freq_e0_palindromes freq_e0_fwd kmer_windows shared_by_all_files kmer_count_by_file freq_k101".split()
+WHOLE = "mappability_e0 raw_payloads runs selection_e0 txt_lines unique_kmers wig_lines bed_selection bedgraph_lines exclude_pseudo_e0 freq16_dense freq8_saturated freq_e0_both freq_e0_palindromes freq_e0_fwd kmer_windows shared_by_all_files kmer_count_by_file kmer_count freq_k101".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
